@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm import splits
+from voxledger.llm import pieces, splits
 from voxledger.session import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -30,8 +30,18 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("share", F.col("n_records") / F.sum("n_records").over(Window.partitionBy(F.lit(1))))
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all segments and train records over 30 seconds."""
+    return pieces.oversized_pieces(table(spark, sf_dir, "segment_ctm"), table(spark, sf_dir, "train"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that had to be cut."""
+    return p2_pieces(spark, sf_dir).where("piece_no = 0").select("source_table", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
