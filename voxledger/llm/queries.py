@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm import pieces, splits
+from voxledger.llm import names, pieces, splits
 from voxledger.session import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -40,8 +40,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 0").select("source_table", "item_id")
 
 
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every speaker label, and with how many other labels it shares it."""
+    resolved = names.resolve_labels(names.distinct_labels(table(spark, sf_dir, "spk_dialg_json").select("real_speaker")), table(spark, sf_dir, "nicknames"))
+    return resolved.withColumn("n_links", F.count("*").over(Window.partitionBy("entity")) - 1)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spellings of one person or organisation."""
+    return names.variant_pairs(p3_entities(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities}
 
 
 def oracle_sql() -> dict[str, str]:
