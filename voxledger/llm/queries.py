@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm import names, pieces, splits
-from voxledger.session import table
+from voxledger.llm import names, pieces, splits, turns
+from voxledger.session import table, written
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -51,8 +51,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(p3_entities(spark, sf_dir))
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.number_turns(turns.fragments(table(spark, sf_dir, "spk_dialg_json"), table(spark, sf_dir, "nicknames")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every clean turn begins and ends."""
+    return turns.turn_rows(_numbered(spark, sf_dir)).select("case_id", F.col("first_dialogue_no").cast("int"), F.col("turn_in_row").cast("int"), F.col("last_dialogue_no").cast("int"))
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean turns with speaker and text."""
+    return turns.turn_texts(_numbered(spark, sf_dir))
+
+
+def p4_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layouts of colon labels inside dialogues, and whether they hold a speaker."""
+    rows = table(spark, sf_dir, "spk_dialg_json")
+    found = written(turns.candidates(rows))
+    return turns.mine_layouts(found, turns.speakers_of(rows, found, table(spark, sf_dir, "nicknames")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts}
 
 
 def oracle_sql() -> dict[str, str]:
