@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm import names, pieces, splits, turns
+from voxledger.llm import names, overlap, pieces, splits, turns
 from voxledger.session import table, written
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -72,8 +72,22 @@ def p4_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.mine_layouts(found, turns.speakers_of(rows, found, table(spark, sf_dir, "nicknames")))
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.cross_split(*[table(spark, sf_dir, t) for t in ("train", "validation", "test")])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a train and an evaluation row that hold the same utterance."""
+    return _overlaps(spark, sf_dir).select(F.least("row_id_train", "row_id_eval").alias("row_id_a"), F.greatest("row_id_train", "row_id_eval").alias("row_id_b"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and case."""
+    return overlap.report(_overlaps(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.llm.names import distinct_labels, resolve_labels
+from voxledger.llm.words import ANNOTATION, BRACKETED_CLOCK, CLOCK
 from voxledger.session import cut, written
 
 #: Rows of a case that one task orders; the state is carried over between blocks.
@@ -30,10 +31,7 @@ SPEAKER_SHARE = 0.5
 #: Labels go to every task up to this many; beyond, they are joined.
 BROADCAST_LABELS = 200_000
 
-# fixed values: noise of transcripts
-CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:\s?(?:AM|PM|[ap]\.m\.)(?![A-Za-z]))?(?:\s(?:IST|EST|GMT|UTC)\b)?"
-BRACKETED_CLOCK = rf"[\[(<]\s*{CLOCK}\s*[\])>]"
-ANNOTATION = r"\[[^\]\[]{0,60}\]|\{[^{}]{0,60}\}|<(?!space>)[^<>]{0,60}>|\*[A-Za-z ]{1,40}\*|\(\([^()]{0,60}\)\)|\([a-z][a-z ,.'-]{0,40}\)"
+# fixed values: marks of transcripts
 FILLER = r"(?i)(?<![\w'])(?:um+|uh+|hm+|er+m?|ah+|mm+|you know|i mean)(?![\w'])"
 LABEL = r"[A-Z][A-Z0-9'’.,_()\- ]{0,90}?"
 BEFORE = r"^|\n|>>|[.,?!;:…\-–—]"
