@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm import names, overlap, pieces, splits, turns
+from voxledger.llm import leaks, names, overlap, pieces, splits, turns
 from voxledger.session import table, written
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -86,8 +86,18 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(_overlaps(spark, sf_dir))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a passage of a held-out item, with the item."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each leaked item stands."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_items": p7_items}
 
 
 def oracle_sql() -> dict[str, str]:
