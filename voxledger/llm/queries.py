@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm import leaks, names, overlap, pieces, splits, turns
+from voxledger.llm import leaks, names, overlap, packing, pieces, splits, truncation, turns
 from voxledger.session import table, written
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -86,6 +86,16 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(_overlaps(spark, sf_dir))
 
 
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence of every document."""
+    return packing.pack_items(packing.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the sequences are."""
+    return packing.fill_report(p6_sequences(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a passage of a held-out item, with the item."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
@@ -96,8 +106,23 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that were cut."""
+    return truncation.truncated(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut documents per source."""
+    return truncation.shares(truncation.truncated(table(spark, sf_dir, "documents")))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with text, whether it is cut and why."""
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found, "p7_items": p7_items}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report, "p6_sequences": p6_sequences, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:
