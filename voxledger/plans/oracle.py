@@ -81,6 +81,7 @@ DISTANCE = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {SCORED}), d AS (
 NAME = r"regexp_extract(audio_path, '([^/\\]*)$', 1)"
 STEM = r"regexp_extract(audio_path, '([^/\\]+?)(?:\.[^./\\]*)?$', 1)"
 LENGTHS = r"list_transform(list_filter(regexp_split_to_array(lower(coalesce(transcription, '')), '\s+'), lambda x: x <> ''), lambda x: len(x))"
+ASIDE = "lower(transcription || ' (aside) [x] <y> A-b!')"
 MEMBERS = "(SELECT row_id, speaker, CASE WHEN n < 5 THEN 'train' WHEN k <= ceil(n * 0.1) THEN 'test' WHEN k <= ceil(n * 0.1) + ceil((n - ceil(n * 0.1)) * (CAST(0.2 AS DOUBLE) / (CAST(0.7 AS DOUBLE) + CAST(0.2 AS DOUBLE)))) THEN 'validation' ELSE 'train' END AS split FROM (SELECT row_id, speaker, count(*) OVER (PARTITION BY speaker) AS n, row_number() OVER (PARTITION BY speaker ORDER BY md5(CAST(row_id AS VARCHAR))) AS k FROM train))"
 
 SQL: dict[str, str] = {
@@ -93,7 +94,7 @@ SQL: dict[str, str] = {
     "punctuation": of_text(punctuation("t")),
     "ordinals": of_text(f"replace({sub('t', r'(\b\d+)\s+((?:st|nd|rd|th)\b)', r'\1\2', 'gi')}, '.''', '')"),
     "clean_text": of_text(clean("t")),
-    "basic_normal": f"SELECT row_id, {squeeze(sub(sub(sub('lower(transcription || '' (aside) [x] <y> A-b!'')', r'[<\[][^>\]]*[>\]]', ''), r'\([^)]+\)', ''), r'[\p{M}\p{S}\p{P}]', ' '))} AS text FROM train WHERE transcription IS NOT NULL",
+    "basic_normal": f"SELECT row_id, {squeeze(sub(sub(sub(ASIDE, r'[<\[][^>\]]*[>\]]', ''), r'\([^)]+\)', ''), r'[\p{M}\p{S}\p{P}]', ' '))} AS text FROM train WHERE transcription IS NOT NULL",
     "speakers": r"SELECT turn_id, upper(trim(regexp_replace(real_speaker, '\d+', '', 'g'))) AS speaker, regexp_replace(coalesce(list_filter(regexp_split_to_array(trim(real_speaker), '\s+'), lambda p: length(p) >= 3 AND right(p, 1) <> '.')[-1], 'Unknown'), '[^a-zA-Z0-9]', '_', 'g') AS folder FROM spk_dialg_json WHERE real_speaker IS NOT NULL",
     "line_kinds": f"SELECT {BOILER} AS boilerplate, {CLOCK} AS clock, {SPEAKER} AS speaker, count(*) AS n FROM {LINES} GROUP BY ALL",
     "dialogue_turns": rf"""WITH l AS (SELECT case_id, page, line_no, line FROM (SELECT case_id, page, line_no, trim(regexp_replace(trim(line), '^\d+\s+', '')) AS line FROM {LINES}) WHERE line <> '' AND NOT {CLOCK}),
