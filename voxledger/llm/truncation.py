@@ -138,13 +138,14 @@ def usage(documents: DataFrame) -> DataFrame:
 
 
 def field_limits(described: DataFrame) -> DataFrame:
-    """(source, unit, limit): lengths at which a source's texts pile up with hardly any longer ones; unit is 'chars' or 'bytes'."""
-    lengths = described.select("source", "digest", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("limit")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("limit")))).alias("x")).select("source", "digest", "x.*").distinct()
-    piles = lengths.groupBy("source", "unit", "limit").agg(F.count("*").alias("n"))
+    """(source, unit, limit): lengths at which a source's texts pile up, most of them without an ending, with hardly any longer ones; unit is 'chars' or 'bytes'."""
+    stops = (~F.col("ended") | F.col("broken")).cast("int").alias("stops")
+    lengths = described.select("source", "digest", stops, F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("limit")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("limit")))).alias("x")).select("source", "digest", "stops", "x.*").distinct()
+    piles = lengths.groupBy("source", "unit", "limit").agg(F.count("*").alias("n"), F.sum("stops").alias("stops"))
     own = Window.partitionBy("source", "unit")
     longer = F.coalesce(F.sum("n").over(own.orderBy(F.desc("limit")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spiked = piles.withColumn("all", F.sum("n").over(own)).withColumn("longer", longer)
-    return spiked.where((F.col("n") >= F.greatest(F.lit(2.0), LIMIT_SHARE * F.col("all"))) & (F.col("longer") <= F.greatest(LONGER_SHARE * F.col("all"), F.lit(0.0)))).select("source", "unit", "limit")
+    return spiked.where((F.col("n") >= F.greatest(F.lit(2.0), LIMIT_SHARE * F.col("all"))) & (F.col("longer") <= LONGER_SHARE * F.col("all")) & (F.col("stops") * 2 >= F.col("n"))).select("source", "unit", "limit")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -170,11 +171,12 @@ def truncated(documents: DataFrame) -> DataFrame:
     entries = used.where("kind = 'entry'").select(F.col("key").alias("entry"), F.col("n").alias("entries"))
     words = used.where("kind = 'word'").select(F.col("key").alias("last"), F.col("n").alias("seen"))
     finals = used.where("kind = 'final'").select(F.col("key").alias("last"), F.col("n").alias("final"))
-    judged = open_.select("doc_id", "source", "punctuated", "last", "entry").join(closed, "doc_id", "left").join(entries, "entry", "left").join(words, "last", "left").join(finals, "last", "left")
+    lasts = d.groupBy("last").agg(F.count("*").alias("ending"))
+    judged = open_.select("doc_id", "source", "punctuated", "last", "entry").join(closed, "doc_id", "left").join(entries, "entry", "left").join(words, "last", "left").join(finals, "last", "left").join(lasts, "last", "left")
     piece = (F.col("last") != "") & (F.coalesce("seen", F.lit(0)) < RARE)
     never = (F.coalesce("seen", F.lit(0)) >= FREQUENT) & (F.coalesce("final", F.lit(0)) * 1000 < F.col("seen"))
     whole = (
-        F.when(F.col("closes"), True)
+        F.when(F.col("closes") & ((F.col("last") == "") | (F.coalesce("seen", F.lit(0)) + F.coalesce("ending", F.lit(0)) >= RARE)), True)
         .when(F.col("entry").isNotNull(), (F.coalesce("entries", F.lit(0)) >= CLOSING) & ~piece)
         .when(~F.col("punctuated"), ~piece & ~never)
         .otherwise(False)
