@@ -28,6 +28,8 @@ from voxledger.session import written
 
 #: Share of a source's texts that stand at one length from which it is a limit, and share that may be longer.
 LIMIT_SHARE, LONGER_SHARE = 0.005, 0.002
+#: Texts that have to stand at a limit, at least.
+LIMIT_LEAST = 3
 #: Texts that have to end in a line for it to be a closing line.
 CLOSING = 5
 #: A word seen less often than this in the corpus may be a piece of one; a word seen at least so often that ends no sentence ends no text.
@@ -145,7 +147,7 @@ def field_limits(described: DataFrame) -> DataFrame:
     own = Window.partitionBy("source", "unit")
     longer = F.coalesce(F.sum("n").over(own.orderBy(F.desc("limit")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spiked = piles.withColumn("all", F.sum("n").over(own)).withColumn("longer", longer)
-    return spiked.where((F.col("n") >= F.greatest(F.lit(2.0), LIMIT_SHARE * F.col("all"))) & (F.col("longer") <= LONGER_SHARE * F.col("all")) & (F.col("stops") * 2 >= F.col("n"))).select("source", "unit", "limit")
+    return spiked.where((F.col("n") >= F.greatest(F.lit(LIMIT_LEAST), LIMIT_SHARE * F.col("all"))) & (F.col("longer") <= LONGER_SHARE * F.col("all")) & (F.col("stops") * 2 >= F.col("n"))).select("source", "unit", "limit")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
