@@ -56,6 +56,8 @@ ROWS = [
     (8, "c", 10, "JUDGE 1", ""),
     (9, "c", 11, "R_EKSHUSAR", "(12:34) am here"),
     (10, "d", 1, "JUDGE 1", "alone"),
+    (13, "d", 2, "RAV EKSHUSAR", "see NOTE: as marked"),
+    (14, "d", 3, "JUDGE 1", "NOTE: as marked"),
     (11, None, 1, "JUDGE 1", "nowhere"),
     (12, "d", None, "JUDGE 1", "nowhere"),
 ]
@@ -65,9 +67,9 @@ ROWS = [
 def test_turns(spark, block):
     rows = spark.createDataFrame(ROWS, "turn_id bigint, case_id string, dialogue_no int, real_speaker string, dialogue string")
     nick = spark.createDataFrame(NICK, "given_name string, nickname string")
-    numbered = turns.number_turns(turns.fragments(rows, nick), block)
+    numbered = turns.number_turns(turns.fragments(rows, nick, texts=True), block)
     got = sorted((r["case_id"], r["first_dialogue_no"], r["turn_in_row"], r["last_dialogue_no"]) for r in turns.turn_rows(numbered).collect())
-    assert got == [("c", 1, 1, 1), ("c", 2, 1, 2), ("c", 2, 2, 5), ("c", 5, 1, 5), ("c", 5, 2, 7), ("c", 11, 1, 11), ("d", 1, 1, 1)]
+    assert got == [("c", 1, 1, 1), ("c", 2, 1, 2), ("c", 2, 2, 5), ("c", 5, 1, 5), ("c", 5, 2, 7), ("c", 11, 1, 11), ("d", 1, 1, 1), ("d", 2, 1, 2), ("d", 3, 1, 3)]
     if block == 1000:
         texts = {(r["case_id"], r["turn_no"]): r["text"] for r in turns.turn_texts(numbered).collect()}
         assert texts[("c", 2)] == "yes." and texts[("c", 3)] == "go on and on, please see NOTE: as marked with this"

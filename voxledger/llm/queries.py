@@ -51,8 +51,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(p3_entities(spark, sf_dir))
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.number_turns(turns.fragments(table(spark, sf_dir, "spk_dialg_json"), table(spark, sf_dir, "nicknames")))
+def _numbered(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    return turns.number_turns(turns.fragments(table(spark, sf_dir, "spk_dialg_json"), table(spark, sf_dir, "nicknames"), texts))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +62,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean turns with speaker and text."""
-    return turns.turn_texts(_numbered(spark, sf_dir))
+    return turns.turn_texts(_numbered(spark, sf_dir, texts=True))
 
 
 def p4_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layouts of colon labels inside dialogues, and whether they hold a speaker."""
-    rows = table(spark, sf_dir, "spk_dialg_json")
-    found = written(turns.candidates(rows))
-    return turns.mine_layouts(found, turns.speakers_of(rows, found, table(spark, sf_dir, "nicknames")))
+    read = turns.read_lines(table(spark, sf_dir, "spk_dialg_json").select("turn_id", "case_id", "dialogue_no", "real_speaker", "dialogue"), texts=False)
+    found = written(turns.candidates(read).groupBy("label", "layout").agg(F.count("*").alias("n")))
+    return turns.mine_layouts(found, turns.speakers_of(read, found, table(spark, sf_dir, "nicknames")))
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

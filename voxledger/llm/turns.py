@@ -15,11 +15,15 @@ place and are left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.llm.names import distinct_labels, resolve_labels
-from voxledger.llm.words import ANNOTATION, BRACKETED_CLOCK, CLOCK
+from voxledger.llm.words import ANNOTATION, BRACKETED_CLOCK, CLOCK, FILLER_PAIRS, FILLERS
 from voxledger.session import cut, written
 
 #: Rows of a case that one task orders; the state is carried over between blocks.
@@ -31,91 +35,97 @@ SPEAKER_SHARE = 0.5
 #: Labels go to every task up to this many; beyond, they are joined.
 BROADCAST_LABELS = 200_000
 
-# fixed values: marks of transcripts
-FILLER = r"(?i)(?<![\w'])(?:um+|uh+|hm+|er+m?|ah+|mm+|you know|i mean)(?![\w'])"
-LABEL = r"[A-Z][A-Z0-9'’.,_()\- ]{0,90}?"
-BEFORE = r"^|\n|>>|[.,?!;:…\-–—]"
-MARK, END = "\u0001", "\u0002"
+BRACKETS = re.compile(rf"{BRACKETED_CLOCK}|{ANNOTATION}")
+CLOCKS = re.compile(rf"{CLOCK}(?![\d:])")
+#: A colon label in capitals, after a mark or line break, or loosely after a word.
+LABEL = re.compile(r"(?:(?:^|\n|>>|[.,?!;:…\-–—])[^\S\n]*|(?<=\w )(?P<loose>))(?P<label>[A-Z][A-Z0-9'’.,_()\- ]{0,90}?)\s*:(?=\s|$)")
+WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+FILLER = re.compile(r"(?<![\w'])(?:um+|uh+|hm+|er+m?|ah+|mm+|you know|i mean)(?![\w'])", re.IGNORECASE)
+TITLE = re.compile(r"(?:JUSTICE|CJ|CJI|HON'BLE|MR|MS|MRS|DR|ADV|SR)\b")
 
 
-def without_noise(text: Column) -> Column:
+def without_noise(text: str) -> str:
     """Text without clock times and annotations; line breaks stay."""
-    t = F.replace(text, F.lit("<space>"), F.lit(" "))
-    t = F.regexp_replace(t, rf"{BRACKETED_CLOCK}|{ANNOTATION}", " ")
-    return F.regexp_replace(t, rf"(?<![\d:]){CLOCK}(?![\d:])", " ")
+    if "<space>" in text:
+        text = text.replace("<space>", " ")
+    if "[" in text or "(" in text or "{" in text or "<" in text or "*" in text:
+        text = BRACKETS.sub(" ", text)
+    return CLOCKS.sub(" ", text) if ":" in text else text
 
 
-def clean(text: Column) -> Column:
-    """Text without fillers, marks left alone and surplus blanks."""
-    t = F.regexp_replace(text, FILLER, " ")
-    t = F.regexp_replace(t, r">>|(?<!\S)[.,;:!?\-–—]+(?!\S)", " ")
-    t = F.regexp_replace(t, r"\s+([.,;:!?])", "$1")
-    t = F.regexp_replace(t, r"([.,;:!?])(?:\s*[,;:.])+", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[\s.,;:!?]+", ""))
+def has_words(text: str) -> bool:
+    """A word is left that is no filler."""
+    words = (m.group().lower() for m in WORD.finditer(text))
+    for w in words:
+        if w not in FILLERS:
+            if w not in ("you", "i") or (w, next(words, "")) not in FILLER_PAIRS:
+                return True
+    return False
 
 
-def marked_lines(text: Column) -> Column:
-    """Array of lines: the text before the first colon label, then "label END text" each. Any run of capitals with a colon is a candidate."""
-    # blanks end a candidate's left context: "see NOTE:" has a word before it, ". MR. RAO:" has a mark
-    spaced = F.regexp_replace(text, rf"({BEFORE})[^\S\n]*({LABEL})\s*:(?=\s|$)", f"$1{MARK}$2{END}")
-    spaced = F.regexp_replace(spaced, rf"(?<=\w )({LABEL}):(?=\s|$)", f"{MARK}?$1{END}")
-    return F.split(spaced, MARK)
+def clean(text: str) -> str:
+    """Text without fillers, marks left alone and surplus blanks."""
+    t = FILLER.sub(" ", text)
+    t = re.sub(r">>|(?<!\S)[.,;:!?\-–—]+(?!\S)", " ", t)
+    t = re.sub(r"\s+([.,;:!?])", r"\1", t)
+    t = re.sub(r"([.,;:!?])(?:\s*[,;:.])+", r"\1", t)
+    return re.sub(r"^[\s.,;:!?]+", "", re.sub(r"\s+", " ", t)).strip()
 
 
-def lines(rows: DataFrame, text: str = "dialogue") -> DataFrame:
-    """rows with frags: array of struct(frag_no, label, loose, body).
+def layout(label: str, loose: bool, body: str) -> str:
+    """Path of a line in the tree: what precedes, the masked words of the label up to DEPTH, and how the body opens."""
+    def mask(t: str) -> str:
+        bare = t.strip("'’.,()-")
+        return "<TITLE>" if TITLE.match(t) else "<NUM>" if bare.isdigit() else "<LETTER>" if len(bare) == 1 else "<CAPS>"
 
-    label: a candidate speaker in capitals before a colon, null for the line that
-    opens the dialogue; loose: it stands right after a word.
-    """
-    parts = marked_lines(without_noise(F.coalesce(F.col(text), F.lit(""))))
+    start = body.lstrip()[:1]
+    opens = "<Word>" if start.isupper() else "<word>" if start.isalnum() else "<MARK>"
+    return " ".join(["<word>" if loose else "<|>", *map(mask, label.replace("_", " ").split()[:DEPTH]), ":", opens])
 
-    def frag(x: Column, i: Column) -> Column:
-        label = F.when(F.contains(x, F.lit(END)), F.regexp_replace(F.substring_index(x, END, 1), r"^\?", ""))
-        return F.struct(
-            i.alias("frag_no"),
-            F.trim(label).alias("label"),
-            F.startswith(x, F.lit("?")).alias("loose"),
-            F.when(F.contains(x, F.lit(END)), F.substring_index(x, END, -1)).otherwise(x).alias("body"),
-        )
 
-    return rows.withColumn("frags", F.transform(parts, frag))
+def lines(dialogue: str | None) -> list[tuple[int, str | None, str | None, str]]:
+    """(number, label, layout, body) of a dialogue's lines: what opens it, without label, and one line per colon label."""
+    text = without_noise(dialogue or "")
+    found = list(LABEL.finditer(text)) if ":" in text else []
+    out: list[tuple[int, str | None, str | None, str]] = [(0, None, None, text[: found[0].start("label")] if found else text)]
+    for k, m in enumerate(found, 1):
+        body = text[m.end() : found[k].start("label") if k < len(found) else len(text)]
+        label = m["label"].strip()
+        out.append((k, label, layout(label, m["loose"] is not None, body), body))
+    return out
 
 
-def layout(label: Column, loose: Column, body: Column) -> Column:
-    """Path of a line in the tree: what precedes, the masked words of the label up to DEPTH, and how the body opens."""
-    def mask(t: Column) -> Column:
-        return (
-            F.when(t.rlike(r"^(?:JUSTICE|CJ|CJI|HON'BLE|MR|MS|MRS|DR|ADV|SR)\b\.?"), F.lit("<TITLE>"))
-            .when(t.rlike(r"^\d+\W*$"), F.lit("<NUM>"))
-            .when(t.rlike(r"^[A-Z]\W*$"), F.lit("<LETTER>"))
-            .otherwise(F.lit("<CAPS>"))
-        )
+def read_lines(rows: DataFrame, texts: bool) -> DataFrame:
+    """(turn_id, case_id, dialogue_no, real_speaker, frags), written once; frags: array of struct(frag_no, label, layout, worded, text), text only on demand."""
+    kept = ["turn_id", "case_id", "dialogue_no", "real_speaker"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            frags = [[{"frag_no": n, "label": label, "layout": at, "worded": has_words(body), "text": clean(body) if texts else None} for n, label, at, body in lines(d)] for d in pdf["dialogue"]]
+            yield pdf[kept].assign(frags=frags)
 
-    words = F.transform(F.slice(F.split(F.trim(F.replace(label, F.lit("_"), F.lit(" "))), r"\s+"), 1, DEPTH), mask)
-    opens = F.when(body.rlike(r"^\s*[A-Z]"), F.lit("<Word>")).when(body.rlike(r"^\s*\w"), F.lit("<word>")).otherwise(F.lit("<MARK>"))
-    return F.concat_ws(" ", F.when(loose, F.lit("<word>")).otherwise(F.lit("<|>")), F.array_join(words, " "), F.lit(":"), opens)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+    return written(rows.select(*kept, "dialogue").mapInPandas(read, f"{fields}, frags array<struct<frag_no: int, label: string, layout: string, worded: boolean, text: string>>"))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(label, layout) for every colon label inside dialogues."""
-    inside = rows.where(F.contains(F.col("dialogue"), F.lit(":"))).select("dialogue")
-    return lines(inside).select(F.explode("frags").alias("f")).where("f.label is not null").select(F.col("f.label").alias("label"), layout(F.col("f.label"), F.col("f.loose"), F.col("f.body")).alias("layout"))
+def candidates(read: DataFrame) -> DataFrame:
+    """(label, layout) of every colon label inside the dialogues of ``read_lines``."""
+    return read.where(F.size("frags") > 1).select(F.explode("frags").alias("f")).where("f.label is not null").select("f.label", "f.layout")
 
 
 def mine_layouts(found: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(layout, n, share, is_speaker) of the candidates; speakers: (label, entity, known)."""
-    known = found.groupBy("label", "layout").agg(F.count("*").alias("n")).join(speakers.where("known").select("label", F.lit(1).alias("hit")), "label", "left")
+    """(layout, n, share, is_speaker) of the candidates (label, layout, n); speakers: (label, entity, known)."""
+    known = found.join(speakers.where("known").select("label", F.lit(1).alias("hit")), "label", "left")
     return known.groupBy("layout").agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("hit").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).withColumn("is_speaker", F.col("share") >= SPEAKER_SHARE)
 
 
 def speakers_of(rows: DataFrame, found: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(label, entity, known) of typed speakers and of candidates inside dialogues; known: the entity has a typed label."""
+    """(label, entity, typed, known) of typed speakers and of candidates (label, layout, n) inside dialogues; known: the entity has a typed label."""
     typed = distinct_labels(rows).withColumn("typed", F.lit(1))
-    inside = found.groupBy("label").agg(F.count("*").alias("n")).withColumn("typed", F.lit(0))
+    inside = found.groupBy("label").agg(F.sum("n").alias("n")).withColumn("typed", F.lit(0))
     labels = written(typed.union(inside).groupBy("label").agg(F.sum("n").alias("n"), F.max("typed").alias("typed")))
     resolved = resolve_labels(labels.select("label", "n"), nicknames).join(labels.select("label", "typed"), "label")
-    return resolved.select("label", "entity", (F.max("typed").over(Window.partitionBy("entity")) == 1).alias("known"))
+    return resolved.select("label", "entity", (F.col("typed") == 1).alias("typed"), (F.max("typed").over(Window.partitionBy("entity")) == 1).alias("known"))
 
 
 def small(df: DataFrame, most: int = BROADCAST_LABELS) -> DataFrame:
@@ -123,25 +133,28 @@ def small(df: DataFrame, most: int = BROADCAST_LABELS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def fragments(rows: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(case_id, dialogue_no, frag_no, entity, speaker, text): texts with words, one row per dialogue and slot; entity null goes on with the one before."""
-    rows = rows.where("case_id is not null and dialogue_no is not null").select("turn_id", "case_id", "dialogue_no", F.when(F.trim("real_speaker") != "", F.col("real_speaker")).alias("real_speaker"), "dialogue")
-    found = written(candidates(rows))
-    speakers = cut(speakers_of(rows, found, nicknames))
+def fragments(rows: DataFrame, nicknames: DataFrame, texts: bool = False) -> DataFrame:
+    """(case_id, dialogue_no, frag_no, entity, speaker, text): the lines with words of each dialogue, written once; entity null goes on with the one before.
+
+    A label that is no speaker leaves its words to the line before it.
+    """
+    placed = rows.where("case_id is not null and dialogue_no is not null").select("turn_id", "case_id", "dialogue_no", F.when(F.trim("real_speaker") != "", F.col("real_speaker")).alias("real_speaker"), "dialogue")
+    read = read_lines(placed, texts)
+    found = written(candidates(read).groupBy("label", "layout").agg(F.count("*").alias("n")))
+    speakers = cut(speakers_of(read, found, nicknames))
     slots = mine_layouts(found, speakers).where("is_speaker").select("layout")
-    accepted = found.distinct().join(small(slots), "layout", "left_semi").join(speakers.where("known"), "label").select(F.col("label").alias("_label"), F.col("layout").alias("_layout"), F.col("entity").alias("_entity"))
+    inside = found.join(slots, "layout", "left_semi").join(speakers.where("known").select("label", "entity"), "label").select("label", "layout", "entity")
+    typed = speakers.where("typed").select("label", F.lit("").alias("layout"), "entity")
+    lookup = cut(inside.union(typed)).select(F.col("label").alias("_label"), F.col("layout").alias("_layout"), F.col("entity").alias("_entity"))
 
-    once = lines(rows).groupBy("case_id", "dialogue_no").agg(F.min_by(F.struct("real_speaker", "frags"), "turn_id").alias("r"))
-    flat = once.select("case_id", "dialogue_no", "r.real_speaker", F.explode("r.frags").alias("f")).select("case_id", "dialogue_no", "real_speaker", "f.*")
-    plain = flat.where("label is null")
-    slotted = flat.where("label is not null").withColumn("_layout", layout(F.col("label"), F.col("loose"), F.col("body"))).withColumnRenamed("label", "_label").join(small(cut(accepted)), ["_label", "_layout"], "left")
-    typed = plain.join(small(speakers.select(F.col("label").alias("real_speaker"), F.col("entity").alias("_entity"))), "real_speaker", "left")
-    columns = ["case_id", "dialogue_no", "frag_no"]
-    opening = typed.select(*columns, F.when(F.col("real_speaker").isNotNull(), F.coalesce("_entity", F.concat(F.lit("label:"), "real_speaker"))).alias("entity"), F.col("real_speaker").alias("speaker"), F.lit(False).alias("joins"), "body")
-    # a candidate that is no speaker belongs to the text before it
-    inner = slotted.select(*columns, F.col("_entity").alias("entity"), F.when(F.col("_entity").isNotNull(), F.col("_label")).alias("speaker"), F.col("_entity").isNull().alias("joins"), F.when(F.col("_entity").isNull(), F.concat(F.col("_label"), F.lit(":"), F.col("body"))).otherwise(F.col("body")).alias("body"))
-    both = opening.union(inner).withColumn("text", clean(F.col("body"))).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return both.drop("body")
+    once = read.groupBy("case_id", "dialogue_no").agg(F.min_by(F.struct("real_speaker", "frags"), "turn_id").alias("r"))
+    flat = once.select("case_id", "dialogue_no", "r.real_speaker", F.explode("r.frags").alias("f"))
+    keyed = flat.select("case_id", "dialogue_no", "f.frag_no", "f.text", "f.worded", F.col("f.label").alias("_inner"), F.coalesce("f.label", "real_speaker").alias("_label"), F.coalesce("f.layout", F.lit("")).alias("_layout"))
+    joined = keyed.join(small(lookup), ["_label", "_layout"], "left")
+    rejected = F.col("_inner").isNotNull() & F.col("_entity").isNull()
+    before = F.last("_entity", ignorenulls=True).over(Window.partitionBy("case_id", "dialogue_no").orderBy("frag_no"))
+    told = joined.withColumn("entity", F.when(rejected, before).otherwise(F.col("_entity"))).where("worded")
+    return written(told.select("case_id", "dialogue_no", "frag_no", "entity", F.when(F.col("_entity").isNotNull(), F.col("_label")).alias("speaker"), F.when(rejected, F.concat(F.col("_inner"), F.lit(": "), F.col("text"))).otherwise(F.col("text")).alias("text")))
 
 
 def number_turns(parts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -153,8 +166,7 @@ def number_turns(parts: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     parts = parts.withColumn("_block", F.floor(F.col("dialogue_no") / block))
     within = Window.partitionBy("case_id", "_block").orderBy("dialogue_no", "frag_no")
-    # a wordless opening leaves its speaker to a rejected candidate after it: such a part has joined = true and no entity
-    ends = parts.groupBy("case_id", "_block").agg(F.max_by("entity", F.struct("dialogue_no", "frag_no")).alias("_any"), F.max(F.when(F.col("entity").isNotNull(), F.struct("dialogue_no", "frag_no", "entity"))).alias("_last"))
+    ends = parts.groupBy("case_id", "_block").agg(F.max(F.when(F.col("entity").isNotNull(), F.struct("dialogue_no", "frag_no", "entity"))).alias("_last"))
     blocks = Window.partitionBy("case_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("case_id", "_block", F.last("_last.entity", ignorenulls=True).over(blocks).alias("_carry"), (F.count("*").over(blocks) > 0).alias("_later"))
     live = parts.join(carried, ["case_id", "_block"]).withColumn("_now", F.coalesce(F.last("entity", ignorenulls=True).over(within), F.col("_carry")))
