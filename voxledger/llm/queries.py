@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxledger.llm import leaks, names, overlap, packing, pieces, splits, truncation, turns
+from voxledger.llm.oracle import SQL
 from voxledger.session import table, written
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -126,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
