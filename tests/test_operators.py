@@ -153,3 +153,18 @@ def test_vectors(spark):
     assert r[0]["c"] == pytest.approx(0.5**0.5) and r[1]["c"] is None
     assert r[0]["p"] == [5, 6, 7, 0] and r[0]["s"] == [1, 5, 6] and r[0]["m"] == [1, 1, 1, 0] and r[0]["k"] == [-100, 6, 7, -100]
     assert [x["ok"] for x in r] == [True, False] and r[1]["p"] == [0, 0, 0, 0] and r[1]["s"] == [1]
+
+
+def test_more_scores(spark):
+    import numpy as np
+
+    a = np.eye(3)
+    assert scoring.bert_score(a, a) == pytest.approx(1.0) and scoring.bert_score(a[:0], a) is None
+    assert scoring.pool_words(["re", "##ad", "it"], np.array([[1.0], [3.0], [5.0]]), ["read", "it"]).tolist() == [[2.0], [5.0]]
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id bigint, text string")
+    assert sorted((r["id"], len(r["vector"])) for r in scoring.embed_texts(rows, batch=1).collect()) == [(1, 64), (3, 64)]
+
+
+def test_row_index(spark):
+    got = splits.row_index(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), "k").collect()
+    assert all(r["k"] == r["idx"] for r in got) and len(got) == 1000

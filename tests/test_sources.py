@@ -62,3 +62,13 @@ def test_ingest_once(spark, tmp_path):
         (src / f"{name}.ctm").write_text("s 1 0 1 x NA\n")
         ingest.take_new(ingest.arriving_segments(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("case_id").collect()) == ["a", "b"]
+
+
+def test_config_and_speech(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("# x\nmodel: a/b # which\nsteps: 10\nrate: 1e-5\nflag: true\nnone:\n")
+    assert files.read_config(str(tmp_path / "c.yaml")) == {"model": "a/b", "steps": 10, "rate": 1e-5, "flag": True, "none": None}
+    audio = spark.createDataFrame([("c", bytearray(b"x"))], "id string, content binary")
+    assert [tuple(r) for r in files.find_speech(audio, lambda b: [(0.5, 1.2999)]).collect()] == [("c", 1, 500, 1299)]
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(files.slice_samples(F.array(*[F.lit(i) for i in range(8)]), 4, F.lit(500), F.lit(1000))).first()[0] == [2, 3]

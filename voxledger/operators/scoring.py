@@ -187,6 +187,31 @@ def semantic_score(truth: str, guess: str, encode: Callable[[list[str]], np.ndar
     return whole, word, None if word is None else whole * word
 
 
+def bert_score(ref: np.ndarray, hyp: np.ndarray) -> float | None:
+    """F1 of the best cosine partners of two texts' token vectors, one row each, without weights; null if either is empty."""
+    if not len(ref) or not len(hyp):
+        return None
+    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (ref, hyp))
+    near = a @ b.T
+    recall, precision = float(near.max(axis=1).mean()), float(near.max(axis=0).mean())
+    return 2 * recall * precision / (recall + precision) if recall + precision else 0.0
+
+
+def embed_texts(rows: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: hashed_vectors, key: str = "id", text: str = "text", batch: int = 64) -> DataFrame:
+    """(key, vector array<float>) of texts, shortest first within an Arrow batch and ``batch`` at a time; null texts have no row."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder()
+        for pdf in batches:
+            pdf = pdf.iloc[pdf[text].str.len().argsort(kind="stable")]
+            for k in range(0, len(pdf), batch):
+                part = pdf.iloc[k : k + batch]
+                yield pd.DataFrame({key: part[key], "vector": list(np.asarray(encode(part[text].tolist()), dtype=np.float32))})
+
+    return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, vector array<float>")
+
+
 def hashed_vectors(texts: list[str], size: int = 64) -> np.ndarray:
     """Vectors of letter trigrams by hash: an encoder that needs no model."""
     import zlib

@@ -84,6 +84,8 @@ LENGTHS = r"list_transform(list_filter(regexp_split_to_array(lower(coalesce(tran
 ASIDE = "lower(transcription || ' (aside) [x] <y> A-b!')"
 MEMBERS = "(SELECT row_id, speaker, CASE WHEN n < 5 THEN 'train' WHEN k <= ceil(n * 0.1) THEN 'test' WHEN k <= ceil(n * 0.1) + ceil((n - ceil(n * 0.1)) * (CAST(0.2 AS DOUBLE) / (CAST(0.7 AS DOUBLE) + CAST(0.2 AS DOUBLE)))) THEN 'validation' ELSE 'train' END AS split FROM (SELECT row_id, speaker, count(*) OVER (PARTITION BY speaker) AS n, row_number() OVER (PARTITION BY speaker ORDER BY md5(CAST(row_id AS VARCHAR))) AS k FROM train))"
 
+REPAIRED = f"replace({sub('t', r'(\b\d+)\s+((?:st|nd|rd|th)\b)', r'\1\2', 'gi')}, '.''', '')"
+
 SQL: dict[str, str] = {
     "contractions": of_text(contractions("t")),
     "fillers": of_text(fillers("t")),
@@ -92,7 +94,7 @@ SQL: dict[str, str] = {
     "citations": of_text(citations("t")),
     "placeholders": of_text(placeholders("t")),
     "punctuation": of_text(punctuation("t")),
-    "ordinals": of_text(f"replace({sub('t', r'(\b\d+)\s+((?:st|nd|rd|th)\b)', r'\1\2', 'gi')}, '.''', '')"),
+    "ordinals": of_text(REPAIRED),
     "clean_text": of_text(clean("t")),
     "basic_normal": f"SELECT row_id, {squeeze(sub(sub(sub(ASIDE, r'[<\[][^>\]]*[>\]]', ''), r'\([^)]+\)', ''), r'[\p{M}\p{S}\p{P}]', ' '))} AS text FROM train WHERE transcription IS NOT NULL",
     "speakers": r"SELECT turn_id, upper(trim(regexp_replace(real_speaker, '\d+', '', 'g'))) AS speaker, regexp_replace(coalesce(list_filter(regexp_split_to_array(trim(real_speaker), '\s+'), lambda p: length(p) >= 3 AND right(p, 1) <> '.')[-1], 'Unknown'), '[^a-zA-Z0-9]', '_', 'g') AS folder FROM spk_dialg_json WHERE real_speaker IS NOT NULL",
@@ -130,4 +132,7 @@ SQL: dict[str, str] = {
     "mean_vector": "SELECT label, CAST(p AS INTEGER) AS position, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS p, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL",
     "mean_scores": "SELECT lang, count(*) AS n_samples, avg(n_chars % 100) AS mean_bert_score, avg(doc_id % 10) AS mean_sema_score FROM documents GROUP BY lang",
     "speaker_files": f"SELECT speaker, count(DISTINCT {STEM}) AS n_files, string_agg(DISTINCT {STEM}, '|' ORDER BY {STEM}) AS files FROM test WHERE speaker IS NOT NULL AND audio_path IS NOT NULL GROUP BY speaker",
+    "ordinal_repairs": f"SELECT count(*) AS n_dialogues, CAST(sum(CASE WHEN {REPAIRED} <> t THEN 1 ELSE 0 END) AS BIGINT) AS n_modified FROM {BASE}",
+    "row_numbers": "SELECT row_id, row_number() OVER (ORDER BY coalesce(length, 0.0), row_id) - 1 AS idx FROM test",
+    "train_files": f"SELECT {STEM} AS id, count(*) AS n, CAST(sum(CAST(round(length * 100) AS BIGINT)) AS BIGINT) AS cs FROM train WHERE audio_path IS NOT NULL AND length > 0 GROUP BY 1",
 }

@@ -220,6 +220,26 @@ def mean_scores(s: SparkSession, d: str) -> DataFrame:
     return scoring.summarise_scores(rows, "lang", "bert_score", "sema_score")
 
 
+def ordinal_repairs(s: SparkSession, d: str) -> DataFrame:
+    changed = dialogues(s, d).select((T.repair_ordinals(F.col("t")) != F.col("t")).alias("c"))
+    return changed.agg(F.count("*").alias("n_dialogues"), F.sum(F.col("c").cast("bigint")).alias("n_modified"))
+
+
+def row_numbers(s: SparkSession, d: str) -> DataFrame:
+    return splits.row_index(table(s, d, "test").select("row_id", F.coalesce("length", F.lit(0.0)).alias("length")), "length", "row_id").select("row_id", "idx")
+
+
+def train_files(s: SparkSession, d: str) -> DataFrame:
+    """Rows and recorded hundredths of a second of each chunk file."""
+    rows = table(s, d, "train").where("audio_path is not null and length > 0").select(stem(F.col("audio_path")).alias("id"), F.round(F.col("length") * 100).cast("bigint").alias("cs"))
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("cs").alias("cs"))
+
+
+def embedded_texts(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "validation").select(F.col("row_id").alias("id"), F.col("transcription").alias("text"))
+    return scoring.embed_texts(rows)
+
+
 def speaker_files(s: SparkSession, d: str) -> DataFrame:
     names = F.sort_array(F.collect_set(stem(F.col("audio_path"))))
     return table(s, d, "test").where("speaker is not null and audio_path is not null").groupBy("speaker").agg(F.size(names).cast("bigint").alias("n_files"), F.array_join(names, "|").alias("files"))
@@ -277,6 +297,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_vector": mean_vector,
     "mean_scores": mean_scores,
     "speaker_files": speaker_files,
+    "ordinal_repairs": ordinal_repairs,
+    "row_numbers": row_numbers,
+    "train_files": train_files,
+    "embedded_texts": embedded_texts,
 }
 
 

@@ -136,6 +136,40 @@ def transform_audio(rows: DataFrame, convert: Callable[[bytes], bytes]) -> DataF
     return rows.select("path", "id", "content").mapInPandas(run, "path string, id string, content binary")
 
 
+def find_speech(audio: DataFrame, detect: Callable[[bytes], list[tuple[float, float]]]) -> DataFrame:
+    """(case_id, seg_no, start_ms, end_ms): speech found in audio files by a detector the caller brings, in seconds; numbered from 1."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for case, content in zip(pdf["id"], pdf["content"]):
+                found = [(case, n, int(a * 1000), int(b * 1000)) for n, (a, b) in enumerate(detect(content), 1)]
+                yield pd.DataFrame(found, columns=["case_id", "seg_no", "start_ms", "end_ms"])
+
+    return audio.select("id", "content").mapInPandas(run, "case_id string, seg_no int, start_ms bigint, end_ms bigint")
+
+
+def slice_samples(samples: Column, rate: int, start_ms: Column, end_ms: Column) -> Column:
+    """The samples of a time range."""
+    first = F.floor(start_ms * rate / 1000).cast("int")
+    return F.slice(samples, first + 1, F.greatest(F.floor(end_ms * rate / 1000).cast("int") - first, F.lit(0)))
+
+
+def read_config(path: str) -> dict[str, object]:
+    """A flat YAML file of ``key: value`` lines."""
+    out: dict[str, object] = {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            line = line.split(" #")[0].strip()
+            if ":" in line and not line.startswith("#"):
+                k, v = (x.strip() for x in line.split(":", 1))
+                text = v.strip("'\"")
+                kinds = {"true": True, "false": False, "null": None, "": None}
+                try:
+                    out[k] = kinds[text.lower()] if text.lower() in kinds else int(text) if text.lstrip("-").isdigit() else float(text)
+                except ValueError:
+                    out[k] = text
+    return out
+
+
 def write_split(rows: DataFrame, path: str) -> None:
     """CSV files with header below split and speaker; what was there is replaced."""
     rows.write.mode("overwrite").partitionBy("split", "speaker").option("header", "true").option("escape", '"').csv(path)
