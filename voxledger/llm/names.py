@@ -55,6 +55,7 @@ class Parts:
     raw: str = ""  # a given name that the table doesn't know
     middle: str = ""
     words: tuple[str, ...] = field(default=())
+    either: str = ""  # a title that two initials may stand for
 
 
 class Reader:
@@ -82,12 +83,13 @@ class Reader:
     def read(self, label: str) -> Parts:
         text = re.sub(r"\s+", " ", label.upper().replace("_", " ").replace("’", "'")).strip().rstrip(":").strip()
         bare = REMARK.sub(" ", text).strip()
+        remark = bare != text
         tokens = [t.strip(".,:;()") for t in bare.split()]
         tokens = [t for t in tokens if t]
         if not tokens or all(t in ROLES or t.isdigit() or len(t) == 1 for t in tokens) and any(t in ROLES for t in tokens):
             return Parts("role", text)
         bare = " ".join(t.translate(MISREAD) if re.search(r"[A-Z]", t) else t for t in bare.split())
-        return self.organisation(bare) or self.person(bare)
+        return self.organisation(bare) or self.person(bare, remark)
 
     def organisation(self, text: str) -> Parts | None:
         counsel = re.match(r"COUNSEL FOR (.+)$", text)
@@ -121,10 +123,12 @@ class Reader:
 
         return next((k for k in KINDS if damerau(word, k, 1) <= 1), "") or next((k for k in KINDS if shortens(k)), "")
 
-    def person(self, text: str) -> Parts:
+    def person(self, text: str, remark: bool = False) -> Parts:
         p = Parts("person")
         comma = text.find(",")
         raw = text.replace(",", " ").split()
+        if comma < 0 and len(raw) == 2 and raw[0] in ("MR", "MS", "DR", "SR") and not remark and len(raw[1].strip(".")) > 2:
+            return Parts("person", raw[1].strip("."), starts=raw[0][0], middle=raw[0][1], either=TITLES[raw[0]])
         titles = []
         while raw and raw[0].strip(".") in TITLES and len(raw) > 1:
             titles.append(TITLES[raw.pop(0).strip(".")])
@@ -213,7 +217,7 @@ def resolve_people(labels: list[tuple[str, int, Parts]]) -> dict[str, str]:
                 found = [x for x in found if x[1].middle == p.middle] or found
             if found:
                 return found
-        return []
+        return candidates(Parts("person", p.anchor, p.either)) if p.either else []
 
     def level(p: Parts) -> int:
         return 0 if p.given else 1 if p.raw else 2 if p.starts else 3

@@ -3,8 +3,9 @@
 Lines are laid out in a few ways: a clock time in one of several brackets, a
 speaker's label and a colon after a line break, an arrow or a sentence. A tree of
 fixed depth over masked tokens counts the layouts of all lines; a layout has a
-speaker slot if what stands in it is mostly a known speaker. Slots are then cut
-out, noise is removed, and neighbouring texts of one speaker are merged.
+speaker slot if what stands in it is mostly a known speaker, and then whatever
+stands in it is one. Slots are cut out, noise is removed, and neighbouring texts of
+one speaker are merged.
 
 Defined results: a null, empty or wordless dialogue gives no turn and ends none; a
 dialogue without speaker goes on with the turn before it, and opens a turn of an
@@ -142,8 +143,10 @@ def fragments(rows: DataFrame, nicknames: DataFrame, texts: bool = False) -> Dat
     read = read_lines(placed, texts)
     found = written(candidates(read).groupBy("label", "layout").agg(F.count("*").alias("n")))
     speakers = cut(speakers_of(read, found, nicknames))
-    slots = mine_layouts(found, speakers).where("is_speaker").select("layout")
-    inside = found.join(slots, "layout", "left_semi").join(speakers.where("known").select("label", "entity"), "label").select("label", "layout", "entity")
+    slots = mine_layouts(found, speakers).where("is_speaker").select("layout", F.lit(True).alias("slot"))
+    # a known speaker anywhere, and whoever stands in a speaker slot
+    told = found.join(slots, "layout", "left").join(speakers.select("label", "entity", "known"), "label").where(F.col("known") | F.col("slot"))
+    inside = told.select("label", "layout", "entity")
     typed = speakers.where("typed").select("label", F.lit("").alias("layout"), "entity")
     lookup = cut(inside.union(typed)).select(F.col("label").alias("_label"), F.col("layout").alias("_layout"), F.col("entity").alias("_entity"))
 
