@@ -41,8 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder (columnar, prunable), read back."""
+    """``df`` as a Parquet table in the shared folder (columnar, prunable), read back; it stays until ``clear_written``."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/voxledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Deletes what ``written`` has put down so far, once no result that reads it is needed; how many tables."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
