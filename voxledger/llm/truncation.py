@@ -35,6 +35,9 @@ CLOSING = 5
 #: A word seen less often than this in the corpus may be a piece of one; a word seen at least so often that ends no sentence ends no text.
 RARE, FREQUENT = 3, 50
 
+#: Different tokens that a task counts before it hands them on.
+COUNTED = 500_000
+
 STRUCTURE = re.compile(r"[\[\](){}<>“”\n\"]")
 OPENERS = {"[": "]", "(": ")", "{": "}", "<": ">", "“": "”"}
 CLOSERS = {v: k for k, v in OPENERS.items()}
@@ -112,17 +115,7 @@ def describe(documents: DataFrame) -> DataFrame:
 
 def usage(documents: DataFrame) -> DataFrame:
     """(kind, key, n) over all texts without their last words: 'word' and how often it stands; 'final' and how often it ends a sentence; 'entry' and how often a list entry of that shape goes before another line."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens: Counter = Counter()
-        entries: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                parts = text.split()
-                tokens.update(parts[:-1])
-                if "\n" in text:
-                    for line in text.split("\n")[:-1]:
-                        if len(line) < 120 and line[:1].isdigit() and ENTRY.match(line):
-                            entries[shape(line)] += 1
+    def told(tokens: Counter, entries: Counter) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         finals: Counter = Counter()
         for t, n in tokens.items():
@@ -136,6 +129,22 @@ def usage(documents: DataFrame) -> DataFrame:
             for k in range(0, len(items), 10_000):
                 yield pd.DataFrame([(kind, x, n) for x, n in items[k : k + 10_000]], columns=["kind", "key", "n"])
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens: Counter = Counter()
+        entries: Counter = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                tokens.update(text.split()[:-1])
+                if "\n" in text:
+                    for line in text.split("\n")[:-1]:
+                        if len(line) < 120 and line[:1].isdigit() and ENTRY.match(line):
+                            entries[shape(line)] += 1
+            if len(tokens) + len(entries) > COUNTED:
+                yield from told(tokens, entries)
+                tokens.clear()
+                entries.clear()
+        yield from told(tokens, entries)
+
     return documents.where("trim(text) != ''").select("text").mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
