@@ -72,3 +72,18 @@ def test_config_and_speech(spark, tmp_path):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(files.slice_samples(F.array(*[F.lit(i) for i in range(8)]), 4, F.lit(500), F.lit(1000))).first()[0] == [2, 3]
+
+
+def test_more_files(spark, tmp_path):
+    (tmp_path / "cat.csv").write_text("case_id,transcript_link,mp3_format_link,hearing_date\ncase1,http://x,,2023-01-02\n")
+    r = files.read_catalog(spark, str(tmp_path / "cat.csv")).first()
+    assert (r["case_id"], r["mp3_format_link"], str(r["hearing_date"])) == ("case1", None, "2023-01-02")
+    (tmp_path / "r.csv").write_text('index,id,hypothesis,reference\n0,a,"x, y",z\n')
+    assert tuple(files.read_results(spark, str(tmp_path / "r.csv")).first()) == ("a", "x, y", "z")
+    files.write_manifest(spark.createDataFrame([("a.wav", "x")], "audio_filepath string, text string"), str(tmp_path / "m"))
+    assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"audio_filepath": "a.wav", "text": "x"}
+    from voxledger.operators import scoring
+
+    rows = spark.createDataFrame([(1, "a b", "a c"), (2, "", "")], "id bigint, reference string, hypothesis string")
+    files.write_report(scoring.detail(rows), str(tmp_path / "d"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "d")).collect()) == ["1 n=2 cor=1 ins=0 del=0 sub=1 corr=50.00 wer=50.00 | a (b->c)", "2 n=0 cor=0 ins=0 del=0 sub=0 corr=- wer=- | "]
