@@ -187,8 +187,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     piece = (F.col("last") != "") & (F.coalesce("seen", F.lit(0)) < RARE)
     never = (F.coalesce("seen", F.lit(0)) >= FREQUENT) & (F.coalesce("final", F.lit(0)) * 1000 < F.col("seen"))
     whole = (
-        F.when(F.col("closes") & ((F.col("last") == "") | (F.coalesce("seen", F.lit(0)) + F.coalesce("ending", F.lit(0)) >= RARE)), True)
-        .when(F.col("entry").isNotNull(), (F.coalesce("entries", F.lit(0)) >= CLOSING) & ~piece)
+        F.when(F.col("entry").isNotNull(), (F.coalesce("entries", F.lit(0)) >= CLOSING) & ~piece)
+        .when(F.col("closes") & ((F.col("last") == "") | (F.coalesce("seen", F.lit(0)) + F.coalesce("ending", F.lit(0)) >= RARE)), True)
         .when(~F.col("punctuated"), ~piece & ~never)
         .otherwise(False)
     )
