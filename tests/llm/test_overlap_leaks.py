@@ -60,6 +60,29 @@ def test_cross_split(spark):
     assert report[("test", "case3")] == (1, 1)
 
 
+def test_near_copies_of_one_text(spark):
+    """A third of the evaluation texts are one utterance with one word changed, the same in train."""
+    rng = random.Random(7)
+    base = sentence(rng, 30).split()
+    variants = [" ".join([*base[: k % 30], f"changed{k}", *base[k % 30 + 1 :]]) for k in range(320)]
+    other = [sentence(rng, 30) for _ in range(640)]
+    train = [(0, " ".join(base)), (1, variants[3]), (2, variants[200] + " more words"), (3, other[0]), (4, sentence(rng, 30))]
+    t = spark.createDataFrame([(i, None, x) for i, x in train], "row_id bigint, audio_path string, transcription string")
+    e = spark.createDataFrame([(1000 + i, None, x, "test") for i, x in enumerate(variants + other)], "row_id bigint, audio_path string, transcription string, split string")
+    got = {(r["row_id_train"], r["row_id_eval"]) for r in overlap.cross_split(t, e).collect()}
+    assert got == {(i, 1000 + k) for i in (0, 1, 2) for k in range(320)} | {(3, 1320)}
+
+
+def test_matches_in_small_portions(monkeypatch):
+    rng = random.Random(8)
+    base = [sentence(rng, 20) for _ in range(4)]
+    texts = sorted({" ".join([*b.split()[:k], "x", *b.split()[k + 1 :]]) for b in base for k in range(20)})
+    words = overlap.number_words(texts, {})
+    whole = sorted(overlap.Passages(texts).matches(words))
+    monkeypatch.setattr(overlap, "AT_ONCE", 7)
+    assert sorted(overlap.Passages(texts).matches(words)) == whole and len(whole) == 4 * 20 * 20
+
+
 def test_coverage():
     assert overlap.covered([0, 3, 20]) == 8 + 5 and overlap.covered([]) == 0
 

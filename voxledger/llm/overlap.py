@@ -7,9 +7,9 @@ merged into the coverage of the evaluation record, and the pairs are checked by
 the longest common subsequence of their words. Records whose paths name the same
 chunk are joined by that key.
 
-A passage that very many records of a shard contain (a stock formula) is left out
-where the record has other passages; a record made of such passages only keeps
-all of them.
+Every passage counts, however many records contain it: the records of a passage lie
+in order of length, so that only those that a training text can agree with are
+looked at, a bounded number at once.
 
 Defined results: null and short texts match only by path, null paths only by
 text; repeated rows each count; an empty table gives an empty result.
@@ -47,8 +47,8 @@ HELD = 150_000
 #: Texts that are matched at once.
 SCAN = 4000
 CHUNK = "cases: array<bigint>, dialogue_no: int, chunk_no: int"
-#: A passage in more than this share of a shard's records, and in at least so many, is stock.
-STOCK_SHARE, STOCK_LEAST = 0.002, 40
+#: Passages of evaluation texts that are compared with training texts at once.
+AT_ONCE = 250_000
 
 
 def number_words(texts: list[str], seen: dict[str, int]) -> list[tuple[int, ...]]:
@@ -79,7 +79,8 @@ class Passages:
     """The passages of a shard of evaluation texts as an automaton over word numbers.
 
     texts must be distinct and hold LEAST_WORDS words or more. Passage p stands at
-    word start[p] of text place[p]; equal passages follow one another from first[key].
+    word start[p] of text place[p]; equal passages follow one another by the length of
+    their texts, rank is key * wide + length.
     """
 
     def __init__(self, texts: list[str]) -> None:
@@ -90,21 +91,17 @@ class Passages:
         self.signature = signatures(self.flat, self.end)
         run = self.hashed()
         begin = self.end - self.size
-        _, back, times = np.unique(run, return_inverse=True, return_counts=True)
-        most = max(STOCK_LEAST, STOCK_SHARE * len(words))
         text_of = np.repeat(np.arange(len(words)), self.size)[: len(run)]
         offset = np.arange(len(run)) - begin[text_of]
         room = self.size[text_of] - PASSAGE - offset
         regular = (room >= 0) & ((offset % STRIDE == 0) | (room == 0))
-        rare = regular & (times[back] <= most)
-        has_rare = np.zeros(len(words), dtype=bool)
-        has_rare[text_of[rare]] = True
-        chosen = np.flatnonzero(rare | (regular & ~has_rare[text_of]))
-        order = chosen[np.argsort(run[chosen], kind="stable")]
+        chosen = np.flatnonzero(regular)
+        order = chosen[np.lexsort((self.size[text_of[chosen]], run[chosen]))]
         key = run[order]
         fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
-        self.first = np.append(np.flatnonzero(fresh), len(key))
         self.place, self.start = text_of[order], offset[order]
+        self.wide = int(self.size.max(initial=0)) + 1
+        self.rank = (np.cumsum(fresh) - 1) * self.wide + self.size[self.place]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         flat = self.flat.tolist()
         for k, at in enumerate(order[fresh].tolist()):
@@ -123,45 +120,63 @@ class Passages:
     def text(self, e: int) -> list[int]:
         return self.flat[self.end[e] - self.size[e] : self.end[e]].tolist()
 
-    def matches(self, words: list[tuple[int, ...]]) -> list[tuple[int, int, int, int]]:
+    def matches(self, words: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int, int]]:
         """(text, evaluation text, words covered by matched passages, words in common order) of all that agree."""
         if not len(self.place):
-            return []
+            return
         hits, owner = [], []
         find = self.automaton.iter
         for t, w in enumerate(words):
-            found = [k for _, k in find(w)]
+            found = {k for _, k in find(w)}
             if found:
                 hits.extend(found)
                 owner.extend([t] * len(found))
         if not hits:
-            return []
+            return
         keys, owner = np.asarray(hits), np.asarray(owner)
-        many = self.first[keys + 1] - self.first[keys]
-        at = np.repeat(self.first[keys] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        text, other, start = np.repeat(owner, many), self.place[at], self.start[at]
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        longer = np.maximum(size[text], self.size[other])
-        least = np.ceil(AGREE * longer - 1e-9).astype(np.int64)
+        least = np.ceil(AGREE * size - 1e-9).astype(np.int64)
+        most = np.floor((size + 1e-6) / AGREE).astype(np.int64)
+        first = np.searchsorted(self.rank, keys * self.wide + np.minimum(least, self.wide)[owner])
+        many = np.searchsorted(self.rank, keys * self.wide + np.minimum(most, self.wide - 1)[owner], "right") - first
+        many = np.maximum(many, 0)
+        own = signatures(np.fromiter((x for w in words for x in w), dtype=np.int64), np.cumsum(size))
+        total = np.cumsum(many)
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
+        at = 0
+        while at < len(keys):
+            # whole texts, as many as fit
+            end = int(last[max(np.searchsorted(last, at, "right"), np.searchsorted(total[last - 1], total[at] - many[at] + AT_ONCE, "right") - 1)])
+            parts = [self.alike(k, min(k + step, end), owner, first, many, size, own) for step in [max(1, AT_ONCE // max(1, int(many[at:end].max())))] for k in range(at, end, step)]
+            text, other, start = (np.concatenate(x) for x in zip(*parts))
+            yield from self.agreeing(text, other, start, words)
+            at = end
+
+    def alike(self, begin: int, end: int, owner: np.ndarray, first: np.ndarray, many: np.ndarray, size: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, evaluation text, start) of the passages behind some hits, without pairs whose length or single words differ too much."""
+        n = many[begin:end]
+        at = np.repeat(first[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        text, other, start = np.repeat(owner[begin:end], n), self.place[at], self.start[at]
+        least = np.ceil(AGREE * np.maximum(size[text], self.size[other]) - 1e-9).astype(np.int64)
         fits = np.minimum(size[text], self.size[other]) >= least
         text, other, start, least = text[fits], other[fits], start[fits], least[fits]
-        own = signatures(np.fromiter((x for w in words for x in w), dtype=np.int64), np.cumsum(size))
         lacks = np.bitwise_count(self.signature[other] & ~own[text]).sum(axis=1)
         fits = lacks <= self.size[other] - least
-        text, other, start, least = text[fits], other[fits], start[fits], least[fits]
-        out = []
-        starts: dict[tuple[int, int], list[int]] = {}
-        for t, e, s in zip(text.tolist(), other.tolist(), start.tolist()):
-            starts.setdefault((t, e), []).append(s)
-        masks: dict[int, dict] = {}
-        for (t, e), places in starts.items():
-            n = int(self.size[e])
-            if e not in masks:
-                masks[e] = position_masks(self.text(e))
-            common = common_in_order(words[t], masks[e], n)
-            if common >= math.ceil(AGREE * max(n, len(words[t])) - 1e-9):
-                out.append((t, e, covered(places), common))
-        return out
+        return text[fits], other[fits], start[fits]
+
+    def agreeing(self, text: np.ndarray, other: np.ndarray, start: np.ndarray, words: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int, int]]:
+        order = np.lexsort((other, text))
+        text, other, start = text[order], other[order], start[order]
+        edge = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(other, prepend=-1) != 0))
+        ends = np.append(edge[1:], len(text))
+        held, masks = -1, {}
+        for a, b, t, e in zip(edge.tolist(), ends.tolist(), text[edge].tolist(), other[edge].tolist()):
+            n = len(words[t])
+            if t != held:
+                held, masks = t, position_masks(words[t])
+            common = common_in_order(self.text(e), masks, n)
+            if common >= math.ceil(AGREE * max(n, int(self.size[e])) - 1e-9):
+                yield t, e, covered(start[a:b].tolist()), common
 
 
 def covered(starts: list[int], length: int = PASSAGE) -> int:
@@ -222,9 +237,9 @@ def near_texts(train: DataFrame, evaluation: DataFrame) -> DataFrame:
                 for t, e, cover, common in shard.matches([words[i] for i in some]):
                     for r in rows[texts[some[t]]]:
                         out.extend((r, x, cover, int(shard.size[e]), common) for x in held[e])
-                    if len(out) > 50_000:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
+                        if len(out) > 50_000:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
                 yield pd.DataFrame(out, columns=names)
 
     names = ["row_id_train", "row_id_eval", "covered", "n_words", "common"]
