@@ -110,6 +110,20 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_leaks_in_many_copies(spark):
+    """A quoted part of an item isn't a formula because many documents quote it; a formula of several items is one."""
+    rng = random.Random(9)
+    formula = sentence(rng, 25)
+    items = [(i, sentence(rng, 50)) for i in range(20)] + [(50 + i, sentence(rng, 30) + " " + formula) for i in range(8)]
+    part = {i: " ".join(t.split()[:30]) for i, t in items}
+    docs = [(k, sentence(rng, 80)) for k in range(800)] + [(1000 + k, sentence(rng, 60) + " " + formula + " " + sentence(rng, 20)) for k in range(100)]
+    equal = sentence(rng, 40) + " " + part[1]
+    docs += [(2000 + k, equal) for k in range(30)] + [(3000 + k, sentence(rng, 40) + " " + part[2] + " " + sentence(rng, 10)) for k in range(30)] + [(4000, part[3])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(map(tuple, leaks.find_leaks(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()))
+    assert got == [(2000 + k, 1) for k in range(30)] + [(3000 + k, 2) for k in range(30)] + [(4000, 3)]
+
+
 @pytest.mark.parametrize(("a", "b"), [(b"tanslated", b"translated"), (b"refinerry", b"refinery"), (b"certifed", b"certified"), (b"judgmemt", b"judgment")])
 def test_misread(a, b):
     v = leaks.Vocabulary([[b, b"other", b"um", b"12"]])
