@@ -168,3 +168,14 @@ def test_more_scores(spark):
 def test_row_index(spark):
     got = splits.row_index(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), "k").collect()
     assert all(r["k"] == r["idx"] for r in got) and len(got) == 1000
+
+
+def test_collated_keeps_long_labels(spark):
+    from voxledger.plans.queries import collated
+
+    rows = spark.createDataFrame([(1, list(range(1, 51))), (2, [7, 8, 9])], "row_id bigint, labels array<int>")
+    got = {r["row_id"]: r for r in collated(rows).collect()}
+    assert got[1]["attended"] == 50 and got[1]["labels"].split(",") == ["-100"] * 2 + [str(x) for x in range(3, 51)]
+    assert got[1]["inputs"].split(",") == ["1", *[str(x) for x in range(1, 50)]]
+    assert got[2]["attended"] == 3 and got[2]["labels"].split(",") == ["-100", "-100", "9"] + ["-100"] * 47
+    assert got[2]["inputs"].split(",") == ["1", "7", "8", "9"] + ["0"] * 46

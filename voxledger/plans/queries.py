@@ -192,9 +192,14 @@ def eval_limit(s: SparkSession, d: str) -> DataFrame:
 
 def collate_labels(s: SparkSession, d: str) -> DataFrame:
     labels = F.transform(T.word_list(F.col("transcription")), lambda w: F.length(w))
-    rows = table(s, d, "validation").select("row_id", labels.alias("labels"))
-    padded = rows.select("row_id", F.size("labels").alias("n"), V.pad_right(F.col("labels"), 32, 0).alias("padded"))
-    masked = padded.select("row_id", V.mask_labels(F.col("padded"), F.col("n"), F.lit(2)).alias("labels"), V.shift_right(F.col("padded"), 1).alias("inputs"), F.least("n", F.lit(32)).cast("bigint").alias("attended"))
+    return collated(table(s, d, "validation").select("row_id", labels.alias("labels")))
+
+
+def collated(rows: DataFrame) -> DataFrame:
+    """(row_id, labels, inputs, attended) of rows (row_id, labels), padded to the longest; nothing is cut."""
+    longest = rows.agg(F.max(F.size("labels")).alias("width"))
+    padded = rows.crossJoin(F.broadcast(longest)).select("row_id", F.size("labels").alias("n"), V.pad_right(F.col("labels"), F.col("width"), 0).alias("padded"))
+    masked = padded.select("row_id", V.mask_labels(F.col("padded"), F.col("n"), F.lit(2)).alias("labels"), V.shift_right(F.col("padded"), 1).alias("inputs"), F.col("n").cast("bigint").alias("attended"))
     as_text = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",").alias(c)
     return masked.select("row_id", as_text("labels"), as_text("inputs"), "attended")
 
