@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,32 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
     present = sc._jsc.sc().getCheckpointDir()
     if not present.isEmpty():
         return present.get()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="voxledger-")
     sc.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+WRITTEN: list[str] = []
 
 
-WRITTEN: list[str] = []
+def scratch(spark: SparkSession, name: str = "voxledger") -> str:
+    """A new path in the shared folder; what is put there stays until ``clear_written``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder (columnar, prunable), read back; it stays until ``clear_written``."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/voxledger-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder (columnar, prunable), read back; it survives lost executors and stays until ``clear_written``."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Cuts a long lineage; by the same means, so that nothing is left behind after ``clear_written``.
+cut = written
+
+
 def clear_written(spark: SparkSession) -> int:
-    """Deletes what ``written`` has put down so far, once no result that reads it is needed; how many tables."""
+    """Deletes what ``written`` and ``scratch`` have put down so far, once no result that reads it is needed; how many."""
     n = len(WRITTEN)
     while WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
