@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxledger.llm import leaks, overlap
 from voxledger.llm.words import common_in_order, plain_words, position_masks
@@ -77,14 +78,51 @@ def test_matches_in_small_portions(monkeypatch):
     rng = random.Random(8)
     base = [sentence(rng, 20) for _ in range(4)]
     texts = sorted({" ".join([*b.split()[:k], "x", *b.split()[k + 1 :]]) for b in base for k in range(20)})
-    words = overlap.number_words(texts, {})
-    whole = sorted(overlap.Passages(texts).matches(words))
+    shard = overlap.Passages(texts)
+    whole = sorted(shard.matches(shard.numbers(texts)))
     monkeypatch.setattr(overlap, "AT_ONCE", 7)
-    assert sorted(overlap.Passages(texts).matches(words)) == whole and len(whole) == 4 * 20 * 20
+    assert sorted(shard.matches(shard.numbers(texts))) == whole and len(whole) == 4 * 20 * 20
+
+
+@pytest.mark.parametrize(("n", "wrong"), [(20, [5, 10, 15, 19]), (40, range(4, 40, 5)), (16, [4, 8, 12]), (25, [4, 9, 14, 19, 24])])
+def test_spread_errors(n, wrong):
+    """Every run of five words is broken, and still four fifths agree."""
+    words = sentence(random.Random(n), n).split()
+    changed = ["other" if i in wrong else w for i, w in enumerate(words)]
+    shard = overlap.Passages([" ".join(words)])
+    assert [x[:2] for x in shard.matches(shard.numbers([" ".join(changed)]))] == [(0, 0)]
+
+
+@given(st.integers(16, 60), st.integers(0, 10**6))
+@settings(max_examples=400, deadline=None)
+def test_no_agreeing_text_is_lost(n, seed):
+    """Words changed, lost and put in anywhere, in company of texts of the same few words: what agrees is met."""
+    rng = random.Random(seed)
+    few = NOUNS[:40]
+    words = [rng.choice(few) for _ in range(n)]
+    texts = {" ".join(words)} | {" ".join(rng.choice(few) for _ in range(rng.randint(16, 60))) for _ in range(20)}
+    for _ in range(20):
+        other = list(words)
+        for _ in range(rng.randint(0, n // 4)):
+            i, kind = rng.randrange(len(other)), rng.randrange(3)
+            other[i : i + (kind < 2)] = [] if kind == 0 else [rng.choice(few)]
+        if len(other) >= 16:
+            texts.add(" ".join(other))
+    texts = sorted(texts)
+    shard = overlap.Passages(texts)
+    got = {x[:2] for x in shard.matches(shard.numbers(texts))}
+    assert got == {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if common_in_order(x.split(), position_masks(y.split()), len(y.split())) >= math.ceil(0.8 * max(len(x.split()), len(y.split())) - 1e-9)}
+
+
+def test_shards_by_words(spark):
+    rows = spark.createDataFrame([(i, "w " * 19 + "w", 20) for i in range(300)] + [(1000, "w " * 899 + "w", 900)], "row_id bigint, words string, n_words int")
+    sizes = [r["n"] for r in overlap.laid(rows, 1000).groupBy(F.spark_partition_id()).agg(F.sum(F.size(F.split("words", " "))).alias("n")).collect()]
+    assert sum(sizes) == 6900 and 5 <= len(sizes) <= 10 and max(sizes) < 2500
+    assert overlap.laid(rows.limit(0), 1000).count() == 0
 
 
 def test_coverage():
-    assert overlap.covered([0, 3, 20]) == 8 + 5 and overlap.covered([]) == 0
+    assert overlap.covered([0, 3, 20], 5) == 8 + 5 and overlap.covered([]) == 0
 
 
 def test_leaks(spark):

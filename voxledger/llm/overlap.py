@@ -1,15 +1,20 @@
 """Same or near-same records across splits.
 
 Evaluation records are laid down in shards of bounded size, ordered by length.
-For each shard an Aho-Corasick automaton over its passages (runs of five words)
-scans the training texts whose length allows a match; matched intervals are
-merged into the coverage of the evaluation record, and the pairs are checked by
-the longest common subsequence of their words. Records whose paths name the same
-chunk are joined by that key.
-
-Every passage counts, however many records contain it: the records of a passage lie
-in order of length, so that only those that a training text can agree with are
-looked at, a bounded number at once.
+For each shard an Aho-Corasick automaton over its passages scans the training texts
+whose length allows a match; matched intervals are merged into the coverage of the
+evaluation record, and the pairs are checked by the longest common subsequence of
+their words. Records whose paths name the same chunk are joined by that key.
+
+Passages are two words long, at every offset, because no longer run is certain to be
+left whole: of two texts of m and n words that agree in c of them, the m - c and
+n - c others break the common words into at most m + n - 2c + 1 runs, so that at
+least 3c - m - n - 1 passages are shared (``shared_least``), wherever the changes
+stand. Of the passages of a text, ordered from the shard's rarest to its most
+frequent, so many of the last may be left out on either side; the others have to
+meet. Every passage counts by this rule, however many records contain it: the
+records of a passage lie in order of length, so that only those that a training text
+can agree with are looked at, a bounded number at once.
 
 Defined results: null and short texts match only by path, null paths only by
 text; repeated rows each count; an empty table gives an empty result.
@@ -19,8 +24,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,113 +36,108 @@ from pyspark.sql import functions as F
 
 from voxledger.llm.paths import parse
 from voxledger.llm.words import common_in_order, plain_words, position_masks
-from voxledger.session import shared_dir, written
+from voxledger.session import scratch, written
 
 LEAST_WORDS = 16
 AGREE = 0.8
-PASSAGE = 5
-#: Words from one passage of a record to the next.
-STRIDE = 3
-#: Evaluation records in a shard, about.
-SHARD = 50_000
-#: Training records that one task holds, about.
-HELD = 150_000
+PASSAGE = 2
+#: Words of the evaluation records in a shard, about; a longer record is a shard of its own.
+SHARD_WORDS = 1_500_000
+#: Words of the training records that one task holds, about.
+HELD_WORDS = 3_000_000
 #: Texts that are matched at once.
 SCAN = 4000
 CHUNK = "cases: array<bigint>, dialogue_no: int, chunk_no: int"
 #: Passages of evaluation texts that are compared with training texts at once.
-AT_ONCE = 250_000
+AT_ONCE = 1_000_000
+
+
+def agree_least(longer: np.ndarray) -> np.ndarray:
+    """Words that have to agree in order, by the longer text's number of words."""
+    return np.ceil(AGREE * longer - 1e-9).astype(np.int64)
+
 
+def shared_least(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Passages that two texts of m and n words share at least, if they agree."""
+    return 3 * agree_least(np.maximum(m, n)) - m - n - 1
 
-def number_words(texts: list[str], seen: dict[str, int]) -> list[tuple[int, ...]]:
-    """Words as numbers of 31 bits; equal numbers of different words are sorted out by the check."""
-    def number(word: str) -> int:
-        n = seen.get(word)
-        if n is None:
-            n = seen[word] = zlib.crc32(word.encode()) & 0x7FFFFFFF
-        return n
 
-    return [tuple(map(number, t.split(" "))) for t in texts]
+def looked_at(n: np.ndarray) -> np.ndarray:
+    """How many of the passages of a text of n words, rarest first, have to be looked at to meet one of any text that agrees."""
+    # texts of about the same length share least; shorter and longer ones differ less in order
+    return n - np.min([shared_least(n, n + k) for k in range(6)], axis=0)
 
 
 def signatures(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """256 bits a text, one set for each word: a bit that a text lacks is a word that it lacks."""
-    out = np.zeros((len(ends), 4), dtype=np.uint64)
+    out = np.zeros((4, len(ends)), dtype=np.uint64)
     if not len(flat):
         return out
     starts = np.concatenate([[0], ends[:-1]])
     bit = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
     for k in range(4):
         own = np.where(bit // np.uint64(64) == k, np.uint64(1) << (bit % np.uint64(64)), np.uint64(0))
-        out[:, k] = np.bitwise_or.reduceat(own, starts)
+        out[k] = np.bitwise_or.reduceat(own, starts)
     return out
 
 
 class Passages:
-    """The passages of a shard of evaluation texts as an automaton over word numbers.
+    """The passages of a shard of evaluation texts as an automaton over the numbers of the shard's words.
 
-    texts must be distinct and hold LEAST_WORDS words or more. Passage p stands at
-    word start[p] of text place[p]; equal passages follow one another by the length of
-    their texts, rank is key * wide + length.
+    texts must be distinct and hold LEAST_WORDS words or more. Passages are numbered
+    from the rarest on. Entry p says that a passage to look at stands in text place[p];
+    entries of one passage follow one another by the length of their texts, rank is
+    passage * wide + length.
     """
 
     def __init__(self, texts: list[str]) -> None:
-        words = number_words(texts, {})
+        self.number: dict[str, int] = {}
+        words = [[self.number.setdefault(w, len(self.number)) for w in t.split(" ")] for t in texts]
         self.flat = np.fromiter((x for w in words for x in w), dtype=np.int64)
         self.size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         self.end = np.cumsum(self.size)
         self.signature = signatures(self.flat, self.end)
-        run = self.hashed()
-        begin = self.end - self.size
-        text_of = np.repeat(np.arange(len(words)), self.size)[: len(run)]
-        offset = np.arange(len(run)) - begin[text_of]
-        room = self.size[text_of] - PASSAGE - offset
-        regular = (room >= 0) & ((offset % STRIDE == 0) | (room == 0))
-        chosen = np.flatnonzero(regular)
-        order = chosen[np.lexsort((self.size[text_of[chosen]], run[chosen]))]
-        key = run[order]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
-        self.place, self.start = text_of[order], offset[order]
-        self.wide = int(self.size.max(initial=0)) + 1
-        self.rank = (np.cumsum(fresh) - 1) * self.wide + self.size[self.place]
+        text_of = np.repeat(np.arange(len(words)), self.size)
+        at = np.flatnonzero(text_of[1:] == text_of[:-1])
+        key = self.flat[at] * (len(self.number) + 1) + self.flat[at + 1]
+        keys, first, passage, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        rarest = np.lexsort((keys, times))
+        rank_of = np.empty(len(keys), dtype=np.int64)
+        rank_of[rarest] = np.arange(len(keys))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        flat = self.flat.tolist()
-        for k, at in enumerate(order[fresh].tolist()):
-            self.automaton.add_word(tuple(flat[at : at + PASSAGE]), k)
-        if len(key):
+        for k, a, b in zip(rank_of.tolist(), self.flat[at[first]].tolist(), self.flat[at[first] + 1].tolist()):
+            self.automaton.add_word((a, b), k)
+        if len(keys):
             self.automaton.make_automaton()
+        text, passage = rarest_first(text_of[at], rank_of[passage], looked_at(self.size))
+        order = np.lexsort((self.size[text], passage))
+        self.place = text[order]
+        self.wide = int(self.size.max(initial=0)) + 1
+        self.rank = passage[order] * self.wide + self.size[self.place]
 
-    def hashed(self) -> np.ndarray:
-        """A number for the run of PASSAGE words at each word."""
-        n = max(0, len(self.flat) - PASSAGE + 1)
-        run = np.zeros(n, dtype=np.uint64)
-        for k in range(PASSAGE):
-            run = run * np.uint64(0x100000001B3) + self.flat[k : k + n].astype(np.uint64)
-        return run
+    def numbers(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The words of texts as the shard's numbers; one number, that no passage has, for all others."""
+        known, other = self.number.get, len(self.number)
+        return [tuple([known(w, other) for w in t.split(" ")]) for t in texts]
 
     def text(self, e: int) -> list[int]:
         return self.flat[self.end[e] - self.size[e] : self.end[e]].tolist()
 
     def matches(self, words: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, evaluation text, words covered by matched passages, words in common order) of all that agree."""
+        """(text, evaluation text, words covered by shared passages, words in common order) of all that agree."""
         if not len(self.place):
             return
-        hits, owner = [], []
         find = self.automaton.iter
-        for t, w in enumerate(words):
-            found = {k for _, k in find(w)}
-            if found:
-                hits.extend(found)
-                owner.extend([t] * len(found))
-        if not hits:
-            return
-        keys, owner = np.asarray(hits), np.asarray(owner)
+        hits = [[k for _, k in find(w)] for w in words]
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        least = np.ceil(AGREE * size - 1e-9).astype(np.int64)
-        most = np.floor((size + 1e-6) / AGREE).astype(np.int64)
+        met = np.fromiter(map(len, hits), dtype=np.int64, count=len(words))
+        # passages that the shard hasn't got are rarer than any that it has
+        owner, keys = rarest_first(np.repeat(np.arange(len(words)), met), np.fromiter((k for h in hits for k in h), dtype=np.int64, count=int(met.sum())), looked_at(size) - (size - 1 - met))
+        if not len(keys):
+            return
+        least, most = agree_least(size), np.floor((size + 1e-6) / AGREE).astype(np.int64)
         first = np.searchsorted(self.rank, keys * self.wide + np.minimum(least, self.wide)[owner])
-        many = np.searchsorted(self.rank, keys * self.wide + np.minimum(most, self.wide - 1)[owner], "right") - first
-        many = np.maximum(many, 0)
+        many = np.maximum(np.searchsorted(self.rank, keys * self.wide + np.minimum(most, self.wide - 1)[owner], "right") - first, 0)
         own = signatures(np.fromiter((x for w in words for x in w), dtype=np.int64), np.cumsum(size))
         total = np.cumsum(many)
         last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
@@ -147,36 +145,50 @@ class Passages:
         while at < len(keys):
             # whole texts, as many as fit
             end = int(last[max(np.searchsorted(last, at, "right"), np.searchsorted(total[last - 1], total[at] - many[at] + AT_ONCE, "right") - 1)])
-            parts = [self.alike(k, min(k + step, end), owner, first, many, size, own) for step in [max(1, AT_ONCE // max(1, int(many[at:end].max())))] for k in range(at, end, step)]
-            text, other, start = (np.concatenate(x) for x in zip(*parts))
-            yield from self.agreeing(text, other, start, words)
+            pairs = np.unique(np.concatenate([self.alike(k, min(k + step, end), owner, first, many, size, own) for step in [max(1, AT_ONCE // max(1, int(many[at:end].max())))] for k in range(at, end, step)]))
+            yield from self.agreeing(pairs, words)
             at = end
 
-    def alike(self, begin: int, end: int, owner: np.ndarray, first: np.ndarray, many: np.ndarray, size: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, evaluation text, start) of the passages behind some hits, without pairs whose length or single words differ too much."""
+    def alike(self, begin: int, end: int, owner: np.ndarray, first: np.ndarray, many: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """text * number of evaluation texts + evaluation text, behind some hits, without pairs whose length or single words differ too much."""
         n = many[begin:end]
-        at = np.repeat(first[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        text, other, start = np.repeat(owner[begin:end], n), self.place[at], self.start[at]
-        least = np.ceil(AGREE * np.maximum(size[text], self.size[other]) - 1e-9).astype(np.int64)
+        other = self.place[np.repeat(first[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        text = np.repeat(owner[begin:end], n)
+        least = agree_least(np.maximum(size[text], self.size[other]))
         fits = np.minimum(size[text], self.size[other]) >= least
-        text, other, start, least = text[fits], other[fits], start[fits], least[fits]
-        lacks = np.bitwise_count(self.signature[other] & ~own[text]).sum(axis=1)
-        fits = lacks <= self.size[other] - least
-        return text[fits], other[fits], start[fits]
-
-    def agreeing(self, text: np.ndarray, other: np.ndarray, start: np.ndarray, words: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int, int]]:
-        order = np.lexsort((other, text))
-        text, other, start = text[order], other[order], start[order]
-        edge = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(other, prepend=-1) != 0))
-        ends = np.append(edge[1:], len(text))
-        held, masks = -1, {}
-        for a, b, t, e in zip(edge.tolist(), ends.tolist(), text[edge].tolist(), other[edge].tolist()):
-            n = len(words[t])
+        text, other, spare = text[fits], other[fits], self.size[other[fits]] - least[fits]
+        lacks = np.zeros(len(text), dtype=np.int64)
+        for k in range(4):
+            lacks += np.bitwise_count(self.signature[k][other] & ~own[k][text])
+            fits = lacks <= spare
+            text, other, spare, lacks = text[fits], other[fits], spare[fits], lacks[fits]
+        return text * len(self.size) + other
+
+    def agreeing(self, pairs: np.ndarray, words: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int, int]]:
+        held, masks, runs = -1, {}, set()
+        for t, e in zip(*(x.tolist() for x in np.divmod(pairs, len(self.size)))):
+            n, m = len(words[t]), int(self.size[e])
             if t != held:
-                held, masks = t, position_masks(words[t])
-            common = common_in_order(self.text(e), masks, n)
-            if common >= math.ceil(AGREE * max(n, int(self.size[e])) - 1e-9):
-                yield t, e, covered(start[a:b].tolist()), common
+                held, masks, runs = t, position_masks(words[t]), set(zip(words[t], words[t][1:]))
+            there = self.text(e)
+            starts = [i for i, run in enumerate(zip(there, there[1:])) if run in runs]
+            cover = covered(starts)
+            # the shared passages lie in a run at least
+            if len(starts) < 3 * (c := math.ceil(AGREE * max(n, m) - 1e-9)) - m - n - 1:
+                continue
+            common = common_in_order(there, masks, n)
+            if common >= c:
+                yield t, e, cover, common
+
+
+def rarest_first(text: np.ndarray, passage: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, passage) of the first ``most`` passages of each text in order, without repetitions; by text."""
+    order = np.lexsort((passage, text))
+    text, passage = text[order], passage[order]
+    begin = np.flatnonzero(np.diff(text, prepend=-1))
+    place = np.arange(len(text)) - np.repeat(begin, np.diff(np.append(begin, len(text))))
+    keep = (place < most[text]) & ((np.diff(text, prepend=-1) != 0) | (np.diff(passage, prepend=-1) != 0))
+    return text[keep], passage[keep]
 
 
 def covered(starts: list[int], length: int = PASSAGE) -> int:
@@ -195,38 +207,57 @@ def as_uri(path: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
+def laid(rows: DataFrame, words: int, least: int = 1) -> DataFrame:
+    """(row_id, words) in partitions of about so many words each, at least so many partitions, by length; a length with more than one's worth is spread.
+
+    Only the count of every length is sent to the driver.
+    """
+    lengths = sorted((r[0], r[1]) for r in rows.groupBy("n_words").count().collect())
+    all_words = sum(n * k for n, k in lengths)
+    full = max(1.0, min(words, all_words / least))
+    places, at = [], 0.0
+    for n, k in lengths:
+        # where the words of this length begin and end, in partitions
+        begin, end = at, at + n * k / full
+        first = math.floor(begin)
+        places.append((n, first, max(1, math.ceil(end) - first)))
+        at = end
+    if not places:
+        return rows.select("row_id", "words").limit(0)
+    table = rows.sparkSession.createDataFrame(places, "n_words int, first int, spread int")
+    part = (F.col("first") + F.pmod(F.xxhash64("row_id"), F.col("spread"))).cast("int")
+    return rows.join(F.broadcast(table), "n_words").repartitionById(math.ceil(at) + 1, part).select("row_id", "words")
+
+
 def near_texts(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(row_id_train, row_id_eval, covered, n_words, common) for texts that agree; both sides: (row_id, words, n_words)."""
     spark = train.sparkSession
-    texts = evaluation.where(F.col("n_words") >= LEAST_WORDS)
-    shards = max(1, math.ceil(texts.count() / SHARD))
-    base = f"{shared_dir(spark).rstrip('/')}/overlap-{uuid.uuid4().hex}"
+    base = scratch(spark, "overlap")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grouped(batches: Iterator[pd.DataFrame]) -> dict[str, list[int]]:
         rows: dict[str, list[int]] = {}
         for pdf in batches:
             for row, words in zip(pdf["row_id"].tolist(), pdf["words"].tolist()):
                 rows.setdefault(words, []).append(row)
+        return rows
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = grouped(batches)
         if rows:
-            held = list(rows.items())
-            made = Passages([t for t, _ in held])
-            yield pd.DataFrame({"shortest": [int(made.size.min())], "longest": [int(made.size.max())], "shard": [pickle.dumps((made, [r for _, r in held]))]})
+            made = Passages(list(rows))
+            yield pd.DataFrame({"shortest": [int(made.size.min())], "longest": [int(made.size.max())], "shard": [pickle.dumps((made, list(rows.values())))]})
 
-    laid = texts.select("row_id", "words", "n_words").repartitionByRange(shards, "n_words", F.xxhash64("row_id")).select("row_id", "words")
-    laid.mapInPandas(build, "shortest int, longest int, shard binary").write.option("maxRecordsPerFile", 1).parquet(base)
+    shards = laid(evaluation.where(F.col("n_words") >= LEAST_WORDS), SHARD_WORDS)
+    shards.mapInPandas(build, "shortest int, longest int, shard binary").write.option("maxRecordsPerFile", 1).parquet(base)
     places = sorted((r[0], r[1], as_uri(r[2])) for r in spark.read.schema("shortest int, longest int").parquet(base).select("shortest", "longest", F.input_file_name()).collect())
+    names = ["row_id_train", "row_id_eval", "covered", "n_words", "common"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: dict[str, list[int]] = {}
-        for pdf in batches:
-            for row, words in zip(pdf["row_id"].tolist(), pdf["words"].tolist()):
-                rows.setdefault(words, []).append(row)
-        if not rows:
-            return
+        rows = grouped(batches)
         texts = sorted(rows, key=lambda t: t.count(" "))
-        words = number_words(texts, {})
+        size = [t.count(" ") + 1 for t in texts]
         for lo, hi, uri in places:
-            near = [i for i, w in enumerate(words) if lo * AGREE <= len(w) and len(w) * AGREE <= hi]
+            near = [t for t, n in zip(texts, size) if lo * AGREE <= n and n * AGREE <= hi]
             if not near:
                 continue
             fs, path = pyarrow.fs.FileSystem.from_uri(uri)
@@ -234,18 +265,15 @@ def near_texts(train: DataFrame, evaluation: DataFrame) -> DataFrame:
             for k in range(0, len(near), SCAN):
                 some = near[k : k + SCAN]
                 out = []
-                for t, e, cover, common in shard.matches([words[i] for i in some]):
-                    for r in rows[texts[some[t]]]:
+                for t, e, cover, common in shard.matches(shard.numbers(some)):
+                    for r in rows[some[t]]:
                         out.extend((r, x, cover, int(shard.size[e]), common) for x in held[e])
                         if len(out) > 50_000:
                             yield pd.DataFrame(out, columns=names)
                             out = []
                 yield pd.DataFrame(out, columns=names)
 
-    names = ["row_id_train", "row_id_eval", "covered", "n_words", "common"]
-    rows = train.where(F.col("n_words") >= LEAST_WORDS)
-    tasks = max(int(spark.sparkContext.defaultParallelism), math.ceil(rows.count() / HELD))
-    spread = rows.select("row_id", "words", "n_words").repartitionByRange(tasks, "n_words", F.xxhash64("row_id")).select("row_id", "words")
+    spread = laid(train.where(F.col("n_words") >= LEAST_WORDS), HELD_WORDS, int(spark.sparkContext.defaultParallelism))
     return spread.mapInPandas(scan, "row_id_train bigint, row_id_eval bigint, covered int, n_words int, common int")
 
 
