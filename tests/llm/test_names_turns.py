@@ -80,3 +80,37 @@ def test_no_turns(spark):
     rows = spark.createDataFrame([], "turn_id bigint, case_id string, dialogue_no int, real_speaker string, dialogue string")
     nick = spark.createDataFrame(NICK, "given_name string, nickname string")
     assert turns.turn_rows(turns.number_turns(turns.fragments(rows, nick))).count() == 0
+
+
+NICK_SCHEMA, ROW_SCHEMA = "given_name string, nickname string", "turn_id bigint, case_id string, dialogue_no int, real_speaker string, dialogue string"
+
+
+def test_mined_slots(spark):
+    """Speakers that are never typed come out of a layout that mostly holds typed ones; a typed name in a layout of marks doesn't."""
+    typed = ["MS. RAVIJOTHA EKSHUSAR", "JUSTICE KARADEV VARVEK", "DR. DAMIRUDEV OSTMONT"]
+    rows = [(i, "a", i, typed[i % 3], f"the matter stands over >> {typed[(i + 1) % 3]}: so be it") for i in range(30)]
+    rows += [(100 + i, "b", i, typed[0], f"kindly look at {x}: as marked") for i, x in enumerate(["SCHEDULE 4", "LEDGER C", "MEMO 9"] * 6)]
+    rows += [(200, "c", 1, typed[0], "we rise now >> MR. ZOLTUM QUARN: thank you >> Q: well"), (201, "c", 2, typed[1], "kindly look at JUSTICE KARADEV VARVEK: as marked"), (202, "c", 3, typed[2], "X" * 300 + " is long >> " + "VERY " * 40 + "LONG NAME: yes")]
+    df, nick = spark.createDataFrame(rows, ROW_SCHEMA), spark.createDataFrame(NICK, NICK_SCHEMA)
+    got = {(r["dialogue_no"], r["frag_no"]): (r["speaker"], r["text"]) for r in turns.fragments(df, nick, texts=True).where("case_id = 'c'").collect()}
+    assert got[(1, 1)] == ("MR. ZOLTUM QUARN", "thank you") and got[(1, 2)] == ("Q", "well")
+    assert got[(2, 0)] == (typed[1], "kindly look at JUSTICE KARADEV VARVEK: as marked") and (2, 1) not in got
+    assert got[(3, 1)][0].endswith("LONG NAME")
+
+
+def test_mined_times(spark):
+    """Forms whose values are spread like times are cut out; numbers of the same marks aren't."""
+    rng = random.Random(2)
+    two = lambda: f"{rng.randrange(60):02d}"
+    rows = [(i, "a", i, "JUDGE 1", f"{rng.randrange(24)}h{two()} we sit [00:{two()}:{two()}.{rng.randrange(1000):03d}] at ratio 1:{rng.randrange(100, 999)} of 3.{rng.randrange(100):02d}") for i in range(80)]
+    rows += [(900, "b", 1, "JUDGE 1", "09h15"), (901, "b", 2, "JUDGE 2", "[00:01:02.500]"), (902, "b", 3, "JUDGE 3", "1:345"), (903, "b", 4, "JUDGE 4", "ummm, mm-hmm you know hmmm")]
+    df, nick = spark.createDataFrame(rows, ROW_SCHEMA), spark.createDataFrame(NICK, NICK_SCHEMA)
+    forms = {r["form"]: r["is_time"] for r in turns.clock_forms(turns.mine(turns.placed(df))).collect()}
+    assert forms["[99:99:99.999]"] and forms["99h99"] and not forms["9:999"] and not forms["9.99"]
+    got = {r["dialogue_no"]: r["text"] for r in turns.fragments(df, nick, texts=True).where("case_id = 'b'").collect()}
+    assert got == {3: "1:345"}
+
+
+@pytest.mark.parametrize("text", ["ummm", "hmmm, uhhh", "you know ummm", "", "--", "um yes", "umbrella", "I mean it", "i mean", "mm-hmm uh"])
+def test_one_meaning_of_wordless(text):
+    assert turns.has_words(text) == bool(turns.clean(text))

@@ -67,10 +67,12 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The layouts of colon labels inside dialogues, and whether they hold a speaker."""
-    read = turns.read_lines(table(spark, sf_dir, "spk_dialg_json").select("turn_id", "case_id", "dialogue_no", "real_speaker", "dialogue"), texts=False)
-    found = written(turns.candidates(read).groupBy("label", "layout").agg(F.count("*").alias("n")))
-    return turns.mine_layouts(found, turns.speakers_of(read, found, table(spark, sf_dir, "nicknames")))
+    """The templates of colon labels inside dialogues and of times, and whether they are slots of speakers and timestamps."""
+    once = turns.placed(table(spark, sf_dir, "spk_dialg_json"))
+    mined = turns.mine(once)
+    nodes, _ = turns.mine_layouts(mined, turns.speakers_of(once, mined, table(spark, sf_dir, "nicknames")))
+    slots = nodes.select(F.lit("speaker").alias("slot"), "layout", "n", F.col("is_speaker").alias("holds"))
+    return slots.union(turns.clock_forms(mined).select(F.lit("timestamp"), "form", "n", "is_time"))
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

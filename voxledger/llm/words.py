@@ -7,7 +7,7 @@ import re
 # fixed values: noise of transcripts
 CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:\s?(?:AM|PM|[ap]\.m\.)(?![A-Za-z]))?(?:\s(?:IST|EST|GMT|UTC)\b)?"
 BRACKETED_CLOCK = rf"[\[(<]\s*{CLOCK}\s*[\])>]"
-ANNOTATION = r"\[[^\]\[]{0,60}\]|\{[^{}]{0,60}\}|<(?!space>)[^<>]{0,60}>|\*[A-Za-z ]{1,40}\*|\(\([^()]{0,60}\)\)|\([a-z][a-z ,.'-]{0,40}\)"
+ANNOTATION = r"\[[^\]\[]*\]|\{[^{}]*\}|<(?!space>)[^<>\n]*>|\*[A-Za-z ]+\*|\(\([^()]*\)\)|\([a-z][a-z ,.'-]*\)"
 FILLERS = {"um", "umm", "uh", "uhh", "hm", "hmm", "er", "erm", "ah", "ahh", "mm", "mmm"}
 FILLER_PAIRS = {("you", "know"), ("i", "mean")}
 
