@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 from voxledger.llm import packing, truncation
 
 
-@given(st.lists(st.integers(1, 100), max_size=80))
+@given(st.lists(st.integers(1, 100), max_size=80), st.booleans())
 @settings(max_examples=300, deadline=None)
-def test_pack(sizes):
-    bins = packing.pack(sizes, 100)
-    load = {}
-    for s, b in zip(sizes, bins):
+def test_pack(sizes, fill_room):
+    bins = packing.pack(sizes, 100, fill_room)
+    load, own = {}, {}
+    for s, (b, in_room) in zip(sizes, bins):
         load[b] = load.get(b, 0) + s
+        if not in_room:
+            own.setdefault(b, []).append(s)
     assert len(bins) == len(sizes) and all(x <= 100 for x in load.values())
-    assert len(load) <= 1.7 * math.ceil(sum(sizes) / 100) + 4
+    assert fill_room or not any(r for _, r in bins)
+    # a container is one class's, and but for the last of each class holds its fixed count
+    kinds = {b: {min(100 // s, packing.CLASSES) for s in x} for b, x in own.items()}
+    assert set(own) == set(load) and all(len(k) == 1 for k in kinds.values())
+    short = [min(k) for b, k in kinds.items() if min(k) < packing.CLASSES and len(own[b]) != min(k)]
+    assert len(short) == len(set(short)) and all(len(own[b]) <= min(k) for b, k in kinds.items() if min(k) < packing.CLASSES)
+    if fill_room:
+        assert len(load) <= 1.7 * math.ceil(sum(sizes) / 100) + 4
 
 
 def test_classes():
-    assert len(set(packing.pack([60] * 5, 100))) == 5
-    assert len(set(packing.pack([40] * 6, 100))) == 3
-    assert len(set(packing.pack([60, 60, 20, 20, 20, 20], 100))) == 2
+    containers = lambda *a: len({b for b, _ in packing.pack(*a)})
+    assert containers([60] * 5, 100) == 5 and containers([40] * 6, 100) == 3
+    assert containers([60, 60, 20, 20, 20, 20], 100) == 2 and containers([60, 60, 20, 20, 20, 20], 100, False) == 3
 
 
 def test_pack_items(spark):
@@ -33,7 +42,9 @@ def test_pack_items(spark):
     per = {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert per[1] == 3 and per[2] == 1 and per[5] == 2 and per[6] == 2 and 3 not in per and 4 not in per and per[150] == 1
     report = packing.fill_report(got).first()
-    assert report["n_tokens"] == sum(n or 0 for _, n in rows) and report["fill"] > 0.9
+    assert report["n_tokens"] == sum(n or 0 for _, n in rows) and report["fill"] > 0.9 and report["n_in_room"] > 0
+    plain = packing.fill_report(packing.pack_items(df, fill_room=False)).first()
+    assert plain["n_in_room"] == 0 and plain["n_tokens"] == report["n_tokens"] and plain["n_sequences"] >= report["n_sequences"]
     assert packing.fill_report(packing.pack_items(df.limit(0))).first()["n_sequences"] == 0
 
 

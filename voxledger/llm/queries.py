@@ -19,10 +19,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_records(table(spark, sf_dir, "train").select("row_id", "audio_path")).select("row_id", F.concat(F.lit("case"), F.col("component")).alias("group_case"))
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    groups = written(splits.group_records(table(spark, sf_dir, "train").select("row_id", "audio_path")))
+    return groups, splits.pin_large(groups, PROPORTIONS)
+
+
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every train record with a path."""
-    groups = splits.group_records(table(spark, sf_dir, "train").select("row_id", "audio_path"))
-    return splits.assign_splits(groups, PROPORTIONS).select("row_id", F.concat(F.lit("case"), F.col("component")).alias("group_case"), "split")
+    groups, pinned = _splits(spark, sf_dir)
+    return splits.assign_splits(groups, PROPORTIONS, pinned).select("row_id", F.concat(F.lit("case"), F.col("component")).alias("group_case"), "split")
+
+
+def p1_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of train, and how many of them get another split once all records of validation and test are there too, and once the large groups are gone. Links of validation and test don't count."""
+    groups, pinned = _splits(spark, sf_dir)
+    more = [table(spark, sf_dir, t).select("row_id", "audio_path") for t in ("validation", "test")]
+    named = splits.name_nodes(more[0].union(more[1])).select("row_id", "audio_path", F.col("node").alias("component"))
+    own = lambda g, p: splits.assign_splits(g, PROPORTIONS, p).where("component is not null").groupBy("component").agg(F.first("split").alias("split"))
+    large = pinned.select(F.col("entity").cast("bigint").alias("component"))
+    before, after, fewer = own(groups, pinned), own(groups.union(named), pinned), own(groups.join(F.broadcast(large), "component", "left_anti").select("row_id", "audio_path", "component"), pinned)
+    both = before.join(after.withColumnRenamed("split", "_after"), "component", "left").join(fewer.withColumnRenamed("split", "_fewer"), "component", "left")
+    moved = lambda c: F.sum((F.col("split") != F.col(c)).cast("bigint"))
+    return both.agg(F.count("*").alias("n_groups"), F.coalesce(moved("_after"), F.lit(0)).alias("n_moved_by_more"), F.coalesce(moved("_fewer"), F.lit(0)).alias("n_moved_by_fewer"))
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +113,10 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the sequences are."""
-    return packing.fill_report(p6_sequences(spark, sf_dir))
+    """How full the sequences are, by classes alone and with their room filled."""
+    sized = written(packing.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    reports = [packing.fill_report(packing.pack_items(sized, fill_room=r)).select(F.lit(name).alias("packing"), "*") for name, r in (("classes", False), ("classes, room filled", True))]
+    return reports[0].union(reports[1])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +145,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report, "p6_sequences": p6_sequences, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources, "p8_documents": p8_documents}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p1_moved": p1_moved, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_turns": p4_turns, "p4_layouts": p4_layouts, "p5_found": p5_found, "p5_report": p5_report, "p6_sequences": p6_sequences, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_sources": p8_sources, "p8_documents": p8_documents}
 
 
 def oracle_sql() -> dict[str, str]:

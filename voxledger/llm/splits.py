@@ -1,8 +1,15 @@
 """Splits that keep related records together.
 
 Cases named by one file are one entity. Hash-to-min finds the connected
-components of the cases, then weighted rendezvous hashing gives each component
-one split, so that a component's split doesn't change when others come or go.
+components of the cases, then weighted rendezvous hashing, with the given proportions
+as weights, gives each component one split. That split depends on the component's
+name and the proportions alone: it doesn't change when others come or go. Only a
+component that a new link joins to one with a lower name takes over that one's split.
+
+A few large components can make the shares miss the proportions whatever the hash
+says. ``pin_large`` chooses their splits once; the caller stores its table and gives
+it to every later call, so that they don't move either. What grows large later keeps
+the split that it has.
 
 Defined results: a null path has no component and no split; a path whose name
 can't be read has a null group and is split by its own path; repeated rows each
@@ -17,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.llm.paths import chunk_key
-from voxledger.session import cut
+from voxledger.session import cut, written
 
-#: A component that holds at least this share of the records is placed by room left, not by hash.
+#: A component that holds at least this share of the records is large.
 HEAVY_SHARE = 0.005
+#: A node with this many members, and this share of all, is joined apart, so that no task gets all of its rows.
+HOT_ROWS, HOT_SHARE = 100_000, 0.001
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,16 +38,16 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every node starts with the cluster of itself and its neighbours. In a round a
     node sends its cluster to the cluster's minimum and the minimum to every
     member; it ends when no cluster changes. Clusters are rows (node, member),
-    never arrays, so a giant component is spread over all tasks. Rounds grow with
-    the logarithm of the diameter; each is cut through the shared folder.
+    never arrays, and the rows of a giant cluster's node stay where they are: its
+    minimum is sent to them. Rounds grow with the logarithm of the diameter; each is
+    cut through the shared folder.
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("member")).where("node is not null and member is not null")
     own = pairs.select("node", F.col("node").alias("member")).union(pairs.select(F.col("member").alias("node"), "member"))
     now = cut(pairs.union(pairs.select(F.col("member").alias("node"), F.col("node").alias("member"))).union(own).distinct())
     mark = None
     while True:
-        least = now.groupBy("node").agg(F.min("member").alias("least"))
-        with_least = now.join(least, "node")
+        with_least = joined_least(now)
         sent = with_least.select(F.col("least").alias("node"), "member").union(with_least.select(F.col("member").alias("node"), F.col("least").alias("member")))
         after = cut(sent.distinct())
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
@@ -48,13 +57,29 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.groupBy("node").agg(F.min("member").alias("component"))
 
 
+def joined_least(clusters: DataFrame) -> DataFrame:
+    """clusters (node, member) with least, the node's lowest member; nodes of very many members, at most 1 / HOT_SHARE, are broadcast, the others joined."""
+    least = clusters.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("n"))
+    many = max(HOT_ROWS, HOT_SHARE * clusters.count())
+    hot = least.where(F.col("n") >= many).select("node", "least").collect()
+    if not hot:
+        return clusters.join(least.drop("n"), "node")
+    apart = F.broadcast(clusters.sparkSession.createDataFrame(hot, least.select("node", "least").schema))
+    return clusters.join(apart, "node").union(clusters.join(apart, "node", "left_anti").join(least.drop("n"), "node"))
+
+
+def name_nodes(records: DataFrame, path: str = "audio_path", key: str = "row_id") -> DataFrame:
+    """(key, path, cases, node) of the records with a path: the cases that it names, and the first of them."""
+    named = records.where(F.col(path).isNotNull()).select(F.col(key), F.col(path), chunk_key(F.col(path))["cases"].alias("cases"))
+    return named.withColumn("node", F.try_element_at("cases", F.lit(1)))
+
+
 def group_records(records: DataFrame, path: str = "audio_path", key: str = "row_id") -> DataFrame:
     """(key, path, component bigint): the component of every record with a path."""
-    named = records.where(F.col(path).isNotNull()).select(F.col(key), F.col(path), chunk_key(F.col(path))["cases"].alias("cases"))
+    named = name_nodes(records, path, key)
     edges = named.where(F.size("cases") > 1).select(F.col("cases")[0].alias("a"), F.explode(F.slice("cases", 2, F.size("cases"))).alias("b")).distinct()
     linked = hash_to_min(edges)
-    first = named.select(key, path, F.try_element_at("cases", F.lit(1)).alias("node"))
-    return first.join(linked, "node", "left").select(key, path, F.coalesce("component", "node").alias("component"))
+    return named.select(key, path, "node").join(linked, "node", "left").select(key, path, F.coalesce("component", "node").alias("component"))
 
 
 def rendezvous(key: Column, weights: dict[str, float]) -> Column:
@@ -69,31 +94,38 @@ def rendezvous(key: Column, weights: dict[str, float]) -> Column:
     return F.greatest(*[score(n, w) for n, w in live])["split"]
 
 
-def assign_splits(groups: DataFrame, proportions: dict[str, float], key: str = "row_id", path: str = "audio_path") -> DataFrame:
-    """(key, component, split) for the rows of ``group_records``.
+def entity_of(path: str) -> Column:
+    return F.coalesce(F.col("component").cast("string"), F.concat(F.lit("path:"), F.col(path)))
 
-    Components of at least HEAVY_SHARE of all records, of which there are at most
-    1 / HEAVY_SHARE, go one by one, largest first, to the split with the most room
-    left relative to its share; the others go by rendezvous hashing with the room
-    that remains as weights.
+
+def pin_large(groups: DataFrame, proportions: dict[str, float], path: str = "audio_path") -> DataFrame:
+    """(entity string, split): the components of ``group_records`` that hold at least HEAVY_SHARE of the records, of which there are at most 1 / HEAVY_SHARE.
+
+    Largest first, each goes to the split that has most room left of its share of
+    all of them together. To be stored by the caller.
     """
-    entity = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("path:"), F.col(path)))
-    rows = groups.select(key, path, "component", entity.alias("_entity"))
-    sizes = rows.groupBy("_entity").agg(F.count("*").alias("n"))
+    spark = groups.sparkSession
+    sizes = written(groups.groupBy(entity_of(path).alias("entity")).agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    whole = sum(proportions.values())
-    room = {s: total * p / whole for s, p in proportions.items()}
-    heavy = sizes.where(F.col("n") >= max(1, math.ceil(total * HEAVY_SHARE))).orderBy(F.desc("n"), "_entity").limit(math.ceil(1 / HEAVY_SHARE)).collect() if total else []
-    placed = {}
-    for r in heavy:
+    large = sizes.where(F.col("n") >= max(1, math.ceil(total * HEAVY_SHARE))).orderBy(F.desc("n"), "entity").collect() if total else []
+    whole, all_large = sum(proportions.values()), sum(r["n"] for r in large)
+    room = {s: all_large * p / whole for s, p in proportions.items() if p > 0}
+    placed = []
+    for r in large:
         best = max(room, key=lambda s: (room[s], s))
-        placed[r["_entity"]] = best
+        placed.append((r["entity"], best))
         room[best] -= r["n"]
-    weights = {s: max(0.0, x) for s, x in room.items()}
-    if not any(weights.values()):
-        weights = dict(proportions)
-    chosen = rendezvous(F.col("_entity"), weights)
-    if placed:
-        fixed = F.create_map(*[F.lit(x) for kv in placed.items() for x in kv])
-        chosen = F.coalesce(F.try_element_at(fixed, F.col("_entity")), chosen)
-    return rows.select(key, "component", chosen.alias("split"))
+    return spark.createDataFrame(placed, "entity string, split string")
+
+
+def assign_splits(groups: DataFrame, proportions: dict[str, float], pinned: DataFrame | None = None, key: str = "row_id", path: str = "audio_path") -> DataFrame:
+    """(key, component, split) for the rows of ``group_records``: the pinned split of their component, else the hashed one.
+
+    pinned: a table of ``pin_large``, which has at most 1 / HEAVY_SHARE rows.
+    """
+    rows = groups.select(key, path, "component", entity_of(path).alias("_entity"))
+    hashed = rendezvous(F.col("_entity"), proportions)
+    if pinned is None:
+        return rows.select(key, "component", hashed.alias("split"))
+    held = F.broadcast(pinned.select(F.col("entity").alias("_entity"), F.col("split").alias("_pinned")))
+    return rows.join(held, "_entity", "left").select(key, "component", F.coalesce("_pinned", hashed).alias("split"))
