@@ -57,18 +57,18 @@ def test_groups_and_splits(spark):
     assert {r["row_id"]: r["component"] for r in groups.collect()} == {1: 5, 2: 5, 3: 5, 4: 7, 6: None, 7: 7}
     many = spark.range(4000).select(F.col("id").alias("row_id"), F.concat(F.lit("case"), F.when(F.col("id") < 1300, 1).otherwise(F.col("id") % 700), F.lit("_2022_01_01_1_0_00000000.wav")).alias("audio_path"))
     shares, all_groups = {"train": 0.8, "validation": 0.1, "test": 0.1}, splits.group_records(many)
-    pinned = splits.pin_large(all_groups, shares)
-    done = splits.assign_splits(all_groups, shares, pinned)
+    plan = splits.plan_splits(all_groups, shares)
+    done = splits.assign_splits(all_groups, shares, plan)
     share = {r["split"]: r["n"] / 4000 for r in done.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["test"] - 0.1) < 0.03
     assert done.groupBy("component").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
     none = splits.group_records(many.limit(0))
-    assert splits.assign_splits(none, {"train": 1.0}, splits.pin_large(none, {"train": 1.0})).count() == 0
+    assert splits.assign_splits(none, {"train": 1.0}, splits.plan_splits(none, {"train": 1.0})).count() == 0
     # rows of new cases and many more of an old one move nothing, nor does taking half of them away
     more = many.union(spark.range(9000).select((F.col("id") + 10_000).alias("row_id"), F.concat(F.lit("case"), F.when(F.col("id") < 2000, 33).otherwise(F.col("id") + 1000), F.lit("_2022_01_01_1_0_00000000.wav"))))
     was = {r["component"]: r["split"] for r in done.collect()}
     for rows in (more, many.where("row_id % 2 = 1")):
-        now = {r["component"]: r["split"] for r in splits.assign_splits(splits.group_records(rows), shares, pinned).collect()}
+        now = {r["component"]: r["split"] for r in splits.assign_splits(splits.group_records(rows), shares, plan).collect()}
         assert all(now[c] == s for c, s in was.items() if c in now)
 
 

@@ -21,23 +21,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     groups = written(splits.group_records(table(spark, sf_dir, "train").select("row_id", "audio_path")))
-    return groups, splits.pin_large(groups, PROPORTIONS)
+    return groups, splits.plan_splits(groups, PROPORTIONS)
 
 
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every train record with a path."""
-    groups, pinned = _splits(spark, sf_dir)
-    return splits.assign_splits(groups, PROPORTIONS, pinned).select("row_id", F.concat(F.lit("case"), F.col("component")).alias("group_case"), "split")
+    groups, plan = _splits(spark, sf_dir)
+    return splits.assign_splits(groups, PROPORTIONS, plan).select("row_id", F.concat(F.lit("case"), F.col("component")).alias("group_case"), "split")
 
 
 def p1_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of train, and how many of them get another split once all records of validation and test are there too, and once the large groups are gone. Links of validation and test don't count."""
-    groups, pinned = _splits(spark, sf_dir)
+    groups, plan = _splits(spark, sf_dir)
     more = [table(spark, sf_dir, t).select("row_id", "audio_path") for t in ("validation", "test")]
     named = splits.name_nodes(more[0].union(more[1])).select("row_id", "audio_path", F.col("node").alias("component"))
     own = lambda g, p: splits.assign_splits(g, PROPORTIONS, p).where("component is not null").groupBy("component").agg(F.first("split").alias("split"))
-    large = pinned.select(F.col("entity").cast("bigint").alias("component"))
-    before, after, fewer = own(groups, pinned), own(groups.union(named), pinned), own(groups.join(F.broadcast(large), "component", "left_anti").select("row_id", "audio_path", "component"), pinned)
+    large = plan.where("entity is not null").select(F.col("entity").cast("bigint").alias("component"))
+    before, after, fewer = own(groups, plan), own(groups.union(named), plan), own(groups.join(F.broadcast(large), "component", "left_anti").select("row_id", "audio_path", "component"), plan)
     both = before.join(after.withColumnRenamed("split", "_after"), "component", "left").join(fewer.withColumnRenamed("split", "_fewer"), "component", "left")
     moved = lambda c: F.sum((F.col("split") != F.col(c)).cast("bigint"))
     return both.agg(F.count("*").alias("n_groups"), F.coalesce(moved("_after"), F.lit(0)).alias("n_moved_by_more"), F.coalesce(moved("_fewer"), F.lit(0)).alias("n_moved_by_fewer"))

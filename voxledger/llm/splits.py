@@ -1,15 +1,16 @@
 """Splits that keep related records together.
 
 Cases named by one file are one entity. Hash-to-min finds the connected
-components of the cases, then weighted rendezvous hashing, with the given proportions
-as weights, gives each component one split. That split depends on the component's
-name and the proportions alone: it doesn't change when others come or go. Only a
-component that a new link joins to one with a lower name takes over that one's split.
+components of the cases, then weighted rendezvous hashing gives each component one
+split. That split depends on the component's name and the weights alone: it doesn't
+change when others come or go. Only a component that a new link joins to one with a
+lower name takes over that one's split.
 
-A few large components can make the shares miss the proportions whatever the hash
-says. ``pin_large`` chooses their splits once; the caller stores its table and gives
-it to every later call, so that they don't move either. What grows large later keeps
-the split that it has.
+The weights are the given proportions. A few large components would make the shares
+miss these whatever the hash says, so ``plan_splits`` chooses their splits once, and
+the weights for all others from the room that they leave. It is a table that the
+caller stores and gives to every later call: neither the large ones nor the others
+move then, and what grows large later keeps the split that it has.
 
 Defined results: a null path has no component and no split; a path whose name
 can't be read has a null group and is split by its own path; repeated rows each
@@ -98,34 +99,37 @@ def entity_of(path: str) -> Column:
     return F.coalesce(F.col("component").cast("string"), F.concat(F.lit("path:"), F.col(path)))
 
 
-def pin_large(groups: DataFrame, proportions: dict[str, float], path: str = "audio_path") -> DataFrame:
-    """(entity string, split): the components of ``group_records`` that hold at least HEAVY_SHARE of the records, of which there are at most 1 / HEAVY_SHARE.
+def plan_splits(groups: DataFrame, proportions: dict[str, float], path: str = "audio_path") -> DataFrame:
+    """(entity string, split, weight): the splits of large components of ``group_records``, and in rows without entity the weights for all others. To be stored by the caller.
 
-    Largest first, each goes to the split that has most room left of its share of
-    all of them together. To be stored by the caller.
+    Large are those that hold at least HEAVY_SHARE of the records, at most
+    1 / HEAVY_SHARE; largest first, each goes to the split with most room left.
     """
     spark = groups.sparkSession
     sizes = written(groups.groupBy(entity_of(path).alias("entity")).agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     large = sizes.where(F.col("n") >= max(1, math.ceil(total * HEAVY_SHARE))).orderBy(F.desc("n"), "entity").collect() if total else []
-    whole, all_large = sum(proportions.values()), sum(r["n"] for r in large)
-    room = {s: all_large * p / whole for s, p in proportions.items() if p > 0}
+    whole = sum(proportions.values())
+    room = {s: (total or 1) * p / whole for s, p in proportions.items() if p > 0}
     placed = []
     for r in large:
         best = max(room, key=lambda s: (room[s], s))
-        placed.append((r["entity"], best))
+        placed.append((r["entity"], best, None))
         room[best] -= r["n"]
-    return spark.createDataFrame(placed, "entity string, split string")
+    weights = {s: max(0.0, x) for s, x in room.items()}
+    if not any(weights.values()):
+        weights = {s: float(proportions[s]) for s in room}
+    return spark.createDataFrame(placed + [(None, s, float(w)) for s, w in weights.items()], "entity string, split string, weight double")
 
 
-def assign_splits(groups: DataFrame, proportions: dict[str, float], pinned: DataFrame | None = None, key: str = "row_id", path: str = "audio_path") -> DataFrame:
-    """(key, component, split) for the rows of ``group_records``: the pinned split of their component, else the hashed one.
+def assign_splits(groups: DataFrame, proportions: dict[str, float], plan: DataFrame | None = None, key: str = "row_id", path: str = "audio_path") -> DataFrame:
+    """(key, component, split) for the rows of ``group_records``: as planned for the large components, else hashed by the plan's weights, without plan by the proportions.
 
-    pinned: a table of ``pin_large``, which has at most 1 / HEAVY_SHARE rows.
+    plan: a table of ``plan_splits``, which has at most 1 / HEAVY_SHARE rows and one per split.
     """
     rows = groups.select(key, path, "component", entity_of(path).alias("_entity"))
-    hashed = rendezvous(F.col("_entity"), proportions)
-    if pinned is None:
-        return rows.select(key, "component", hashed.alias("split"))
-    held = F.broadcast(pinned.select(F.col("entity").alias("_entity"), F.col("split").alias("_pinned")))
-    return rows.join(held, "_entity", "left").select(key, "component", F.coalesce("_pinned", hashed).alias("split"))
+    if plan is None:
+        return rows.select(key, "component", rendezvous(F.col("_entity"), proportions).alias("split"))
+    weights = {r["split"]: r["weight"] for r in plan.where("entity is null").collect()}
+    held = F.broadcast(plan.where("entity is not null").select(F.col("entity").alias("_entity"), F.col("split").alias("_planned")))
+    return rows.join(held, "_entity", "left").select(key, "component", F.coalesce("_planned", rendezvous(F.col("_entity"), weights)).alias("split"))
