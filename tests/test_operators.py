@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,18 +25,25 @@ def plain_distance(a, b):
 @given(WORDS, WORDS)
 @settings(max_examples=300, deadline=None)
 def test_alignment_invariants(ref, hyp):
-    n, cor, wrong, ins, dele, sub, _ = scoring.counts(ref, hyp)
+    n, cor, wrong, ins, dele, sub, path, diff = scoring.counts(ref, hyp)
     assert n == len(ref) == cor + sub + dele
     assert len(hyp) == cor + sub + ins
-    assert wrong == sub + ins + dele == plain_distance(ref, hyp)
+    assert wrong == sub + ins + dele == plain_distance(ref, hyp) == scoring.distance(ref, hyp)
+    assert len(path) == cor and all(ref[i] == hyp[j] for i, j in path) and all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:]))
+    # the diff holds both texts
+    sides = [re.sub(r"\(([^()]*)->([^()]*)\)", rf"\{k}", diff).replace("*", " ").split() for k in (1, 2)]
+    assert sides == [ref, hyp]
 
 
 def test_alignment_cases():
     assert scoring.counts(["a", "b"], ["a", "b"])[:6] == (2, 2, 0, 0, 0, 0)
     assert scoring.counts([], ["x"])[:6] == (0, 0, 1, 1, 0, 0)
     assert scoring.counts(["x"], [])[:6] == (1, 0, 1, 0, 1, 0)
-    assert scoring.counts("a b".split(), "a c".split())[6] == "a (b->c)"
-    assert scoring.counts("a b".split(), "a".split())[6] == "a (b->*)"
+    assert scoring.counts("a b".split(), "a c".split())[6:] == ([(0, 0)], "a (b->c)")
+    assert scoring.counts("a b".split(), "a".split())[7] == "a (b->*)"
+    # a run that differs is one gap
+    assert scoring.counts("a b c".split(), "x y c".split())[6:] == ([(2, 2)], "(a b->x y) c")
+    assert scoring.counts("a b c d".split(), "a d".split())[7] == "a (b c->*) d" and scoring.counts(["a"], "x a y z".split())[7] == "(*->x) a (*->y z)"
 
 
 def test_rates_of_nothing(spark):
@@ -45,6 +54,14 @@ def test_rates_of_nothing(spark):
     r = scoring.error_rate(rows).first()
     assert (r["n"], r["wrong"], r["sentences"], r["wrong_sentences"], r["rate"]) == (2, 2, 3, 2, 100.0)
     assert [x["wer"] for x in scoring.detail(rows).orderBy("id").collect()] == [None, "50.00", None]
+    # of equal ids the last counts
+    twice = spark.createDataFrame([(1, 1, "a b", "x y"), (1, 3, "a b", "a b"), (2, 2, "c", "d"), (1, 2, "a", "")], "id bigint, row_no int, reference string, hypothesis string")
+    for r in (scoring.error_rate(twice).first(), scoring.error_rate(twice, kinds=False).first()):
+        assert (r["n"], r["wrong"], r["sentences"], r["rate"]) == (3, 1, 2, 33.33)
+    assert scoring.char_error_rate(twice).first()["n"] == 4 and scoring.detail(twice).count() == 2
+    assert scoring.normal_error_rate(spark.createDataFrame([(1, "A-b, [x] C!", "a b c")], "id bigint, reference string, hypothesis string")).first()["rate"] == 0
+    rated = spark.createDataFrame([(1, 2, 2), (2, 2, 3), (3, 0, 1)], "id bigint, n bigint, wrong bigint")
+    assert [r["id"] for r in scoring.sane_labels(rated).collect()] == [1]
 
 
 def test_semantic(spark):
@@ -53,11 +70,21 @@ def test_semantic(spark):
     assert scoring.map_words("a b", "a c") == [("a", "a"), ("b", "c")]
     rows = spark.createDataFrame([(1, "the cat sat", "the cat sat"), (2, "a", None)], "id bigint, reference string, hypothesis string")
     good, bad = scoring.semantic_scores(rows)
-    got = {r["id"]: r["score"] for r in good.collect()}
-    assert got[1] == pytest.approx(1.0) and got[2] is None and bad.count() == 0
+    got = {r["id"]: (r["bert_score"], r["sema_score"]) for r in good.collect()}
+    assert got[1] == pytest.approx((1.0, 1.0)) and got[2] == (None, None) and bad.count() == 0
+
+    def axes(text):
+        words = text.split()
+        return words, np.array([[1.0, 0.0] if w in ("the", "cat") else [0.0, 1.0] for w in words])
+
+    # two words kept, of which one counts as much as the mean tells, one replaced by an unlike one of no common letter
+    _, score = scoring.semantic_score("the cat sat", "the cat the", axes)
+    near, far = (2 / 5**0.5 + 1) / 2, (1 / 5**0.5 + 1) / 2
+    assert score == pytest.approx((2 * near + far * 0.5 * scoring.match_rate("sat", "the")) / (2 * near + far))
+    assert scoring.edit_script("kitten", "sitting") == "$itt$n-" and scoring.edit_script("abc", "") == "+++"
 
     def failing():
-        def encode(texts):
+        def encode(text):
             raise ValueError("no model")
 
         return encode
@@ -67,10 +94,10 @@ def test_semantic(spark):
 
 
 def test_turns(spark):
-    rows = [("c", 1, 0, "front matter"), ("c", 1, 1, "JUDGE 1: 3 yes"), ("c", 1, 2, "11:00 AM IST"), ("c", 2, 0, "4 go on."), ("c", 2, 1, "THE WITNESS:"), ("c", 2, 2, "COUNSEL 2: [UNCLEAR]"), ("c", 3, 0, "RAO: done"), ("c", 3, 1, None)]
+    rows = [("c", 1, 0, "front matter"), ("c", 1, 1, "JUDGE 1: 3 yes"), ("c", 1, 2, "11:00 AM IST"), ("c", 1, 3, "7 11:30 AM"), ("c", 1, 4, "8 42"), ("c", 2, 0, "4 go on."), ("c", 2, 1, "THE WITNESS:"), ("c", 2, 2, "COUNSEL 2: [UNCLEAR]"), ("c", 3, 0, "RAO: done"), ("c", 3, 1, None)]
     got = turns.assemble_turns(spark.createDataFrame(rows, "case_id string, page int, line_no int, line string"))
-    assert sorted(map(tuple, got.collect())) == [("c", 1, "JUDGE", "3 yes go on"), ("c", 2, "RAO", "done")]
-    assert turns.manifest(got).first()["text"] == "3 yes go on | done"
+    assert sorted(map(tuple, got.collect())) == [("c", 1, "JUDGE", "3 yes 11:30 am go on"), ("c", 2, "RAO", "done")]
+    assert turns.manifest(got).first()["text"] == "3 yes 11:30 am go on | done"
 
 
 def model_chunks(start, end, words, limit):
@@ -144,7 +171,29 @@ def test_relational(spark):
     assert sorted(map(tuple, splits.last_by_key(rows, "k", "at").collect())) == [("a", 1, "z"), ("b", 2, None)]
     with pytest.raises(ValueError, match="4 rows wanted"):
         splits.first_rows(rows, F.col("at"), 4)
-    assert splits.mix_datasets([rows, rows], 1, F.col("at"), 5).count() == 5
+    assert sorted(r["at"] for r in splits.mix_datasets([rows, rows.where("at > 1")], 1, F.col("at"), 2).collect()) == [1, 2, 2, 3]
+    with pytest.raises(ValueError, match="2 rows wanted"):
+        splits.mix_datasets([rows, rows.where("at > 2")], 1, F.col("at"), 2)
+    wanted = spark.createDataFrame([("a", 9), ("b", 8)], "k string, more int")
+    assert sorted(map(tuple, splits.with_values(wanted, rows, "k", "at").collect())) == [("a", 9, "z"), ("b", 8, None)]
+    with pytest.raises(ValueError, match="no value"):
+        splits.with_values(wanted.union(wanted.select(F.lit("q"), "more")), rows, "k", "at")
+    assert sorted((r["v"], r["case_id"]) for r in splits.case_keys(rows.where("v is not null").withColumn("case_id", F.lit("old")), "at").collect()) == [("x", "case1"), ("z", "case2")]
+
+
+def test_labels_of_448(spark):
+    lengths = spark.createDataFrame([(n,) for n in (0, 1, 447, 448)], "n int")
+    kept = lengths.where(V.label_length_ok(F.array_repeat(F.lit(7), F.col("n")), 448))
+    assert sorted(r["n"] for r in kept.collect()) == [1, 447]
+
+
+def test_aligned_chunks(spark):
+    seg = spark.createDataFrame([("c", 1, 0, 900, "so be it"), ("c", 2, 1000, 1400, "nowhere"), ("d", 1, 0, 500, "yes")], "case_id string, seg_no int, start_ms bigint, end_ms bigint, text string")
+    words = spark.createDataFrame([("c", 1, "so", 0, 300), ("c", 2, "be", 300, 600), ("c", 3, "it", 600, 900), ("c", 4, "nowhere", 1000, 1400)], "case_id string, word_no int, word string, start_ms bigint, end_ms bigint")
+    said = spark.createDataFrame([("c", 1, "A", "well"), ("c", 2, "B", "so be it then"), ("d", 1, "A", "yes")], "case_id string, dialogue_no int, real_speaker string, dialogue string")
+    got = align.aligned_chunks(seg, words, said, spark.createDataFrame([("c",), ("d",)], "case_id string")).collect()
+    assert [tuple(r)[:8] for r in got] == [("c", 2, 1, 0, 0, 900, "so be it", "B")] and got[0]["file_name"].startswith("c_2_0_")
+    assert align.aligned_chunks(seg, words, said, spark.createDataFrame([("d",)], "case_id string")).count() == 0
 
 
 def test_vectors(spark):
@@ -156,13 +205,16 @@ def test_vectors(spark):
 
 
 def test_more_scores(spark):
-    import numpy as np
-
     a = np.eye(3)
     assert scoring.bert_score(a, a) == pytest.approx(1.0) and scoring.bert_score(a[:0], a) is None
     assert scoring.pool_words(["re", "##ad", "it"], np.array([[1.0], [3.0], [5.0]]), ["read", "it"]).tolist() == [[2.0], [5.0]]
+    assert scoring.pool_words(["re", "##ad", "it"], np.array([[1.0], [3.0], [5.0]]), ["read it", ""]).tolist() == [[3.0], [0.0]]
+    with pytest.raises(ValueError, match="spell"):
+        scoring.pool_words(["re"], np.array([[1.0]]), ["other"])
     rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id bigint, text string")
     assert sorted((r["id"], len(r["vector"])) for r in scoring.embed_texts(rows, batch=1).collect()) == [(1, 64), (3, 64)]
+    tokens = spark.createDataFrame([(1, "reading it"), (2, None)], "id bigint, text string")
+    assert [(r["pieces"], len(r["vectors"])) for r in scoring.embed_tokens(tokens, most=2).collect()] == [(["readi", "##ng"], 2)]
 
 
 def test_row_index(spark):

@@ -22,7 +22,12 @@ CASES = [
     (T.speaker_key, "J. V.", "Unknown"),
     (T.speaker_key, "A O'BRIEN", "O_BRIEN"),
     (T.drop_line_number, "12 the line", "the line"),
-    (T.direct_link, " https://x/t.pdf?dl=0 ", "https://x/t.pdf?raw=1"),
+    (T.drop_punctuation, "at 11:30:45:50 or 10:20", "at 11:30:4550 or 10:20"),
+    (T.direct_link, "https://x/t.pdf?dl=0", "https://x/t.pdf?dl=0"),
+    (T.direct_link, "https://www.dropbox.com/t.mp3?dl=1", "https://www.dropbox.com/t.mp3?raw=1"),
+    (T.prompt_family, "sets/gujarati_large", "indo"),
+    (T.prompt_family, "sets/kannada", "dra"),
+    (T.prompt_family, "sc", None),
 ]
 
 

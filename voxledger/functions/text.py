@@ -32,7 +32,7 @@ CONTRACTIONS = {
 # fixed values: fillers
 FILLERS = ["um", "uh", "you know"]
 
-HIDDEN_COLON, HIDDEN_POINT = "\u0001", "\u0002"
+HIDDEN_COLON, HIDDEN_POINT, CLOCK_END = "\u0001", "\u0002", "\u0003"
 
 
 def squeeze(c: Column) -> Column:
@@ -67,7 +67,9 @@ def ascii_fold(c: Column) -> Column:
 
         return texts.map(one, na_action=None)
 
-    return fold(c)
+    # only what isn't plain ASCII goes to Python
+    needs = c.rlike(r"[^\x00-\x7F]|\\u")
+    return F.when(needs, fold(F.when(needs, c))).otherwise(c)
 
 
 def percent_words(c: Column) -> Column:
@@ -77,6 +79,7 @@ def percent_words(c: Column) -> Column:
 
 def open_citations(c: Column) -> Column:
     """Parentheses away, number ranges as "a to b", other hyphens as blanks, a blank between digits and letters."""
+    # fixed values: forms of ranges and citations
     c = F.regexp_replace(F.translate(c, "()", ""), r"(\d+)-(\d+)", "$1 to $2")
     c = F.translate(c, "-", " ")
     c = F.regexp_replace(c, r"(?i)\b((?:Article|Section|Page)\s+)?(\d+)([a-zA-Z])", "$1$2 $3")
@@ -90,14 +93,15 @@ def placeholders(c: Column) -> Column:
 
 
 def drop_punctuation(c: Column) -> Column:
-    """Punctuation away where a word ends; clock times, decimals, ordinals and commas inside numbers stay."""
+    """Punctuation away where a word ends; clock times, decimals, ordinals and commas inside numbers stay. A clock time has three fields at most."""
+    # fixed values: forms of ordinals, clock times, decimals and punctuation
     c = F.regexp_replace(c, r"(?i)(\d+)\s*(st|nd|rd|th)(?=\s|$)", "$1$2")
-    c = F.regexp_replace(c, r"\b(\d{1,2}):(\d{2}):(\d{2})", f"$1{HIDDEN_COLON}$2{HIDDEN_COLON}$3")
+    c = F.regexp_replace(c, r"\b(\d{1,2}):(\d{2}):(\d{2})", f"$1{HIDDEN_COLON}$2{HIDDEN_COLON}$3{CLOCK_END}")
     c = F.regexp_replace(c, r"\b(\d{1,2}):(\d{2})", f"$1{HIDDEN_COLON}$2")
     c = F.regexp_replace(c, r"\b(\d+)\.(\d+)\b", f"$1{HIDDEN_POINT}$2")
     c = F.regexp_replace(c, r'[.,!?;"](?=\s|$|[.,!?;" ])', "")
     c = F.regexp_replace(F.regexp_replace(c, r"\.{2,}", ""), "[;:]", "")
-    return squeeze(F.translate(c, HIDDEN_COLON + HIDDEN_POINT, ":."))
+    return squeeze(F.translate(c, HIDDEN_COLON + HIDDEN_POINT + CLOCK_END, ":."))
 
 
 def repair_ordinals(c: Column) -> Column:
@@ -148,6 +152,7 @@ def is_boilerplate(line: Column) -> Column:
 
 def is_clock_line(line: Column) -> Column:
     """A whole line that is a clock time, or boilerplate."""
+    # fixed value: form of a clock time
     return F.trim(line).rlike(r"^\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM)?\s*(IST|EST|GMT|UTC)?$") | is_boilerplate(line)
 
 
@@ -164,5 +169,14 @@ def drop_line_number(line: Column) -> Column:
 
 
 def direct_link(url: Column) -> Column:
-    """A share link as a link to the file itself."""
-    return F.regexp_replace(F.trim(url), r"dl=[01]", "raw=1")
+    """A share link of one host as a link to the file itself; other links stay as they are."""
+    # fixed value: the host whose links are rewritten
+    return F.when(F.contains(url, F.lit("dropbox.com")), F.regexp_replace(url, r"dl=[01]", "raw=1")).otherwise(url)
+
+
+def prompt_family(name: Column) -> Column:
+    """indo or dra, by the first list of which a name or code stands anywhere in a data set's name; null for neither."""
+    # fixed values: names and codes of languages by family
+    indo = ["hindi", "gujarati", "marathi", "bengali", "hi", "gu", "bn", "mr"]
+    dra = ["tamil", "telugu", "kannada", "malayalam", "ta", "te", "kn", "ml"]
+    return F.when(name.rlike("|".join(indo)), "indo").when(name.rlike("|".join(dra)), "dra")

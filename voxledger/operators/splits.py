@@ -41,7 +41,7 @@ def stratified_split(rows: DataFrame, group: str, key: Column, min_group: int =
 
 def first_rows(rows: DataFrame, order: Column, count: int) -> DataFrame:
     """The first ``count`` rows by an order; fails if there are fewer."""
-    taken = rows.orderBy(order).limit(count)
+    taken = written(rows.orderBy(order).limit(count))
     n = taken.count()
     if n < count:
         raise ValueError(f"{count} rows wanted, {n} found")
@@ -49,10 +49,9 @@ def first_rows(rows: DataFrame, order: Column, count: int) -> DataFrame:
 
 
 def mix_datasets(parts: list[DataFrame], seed: int, key: Column, limit: int | None = None) -> DataFrame:
-    """All parts together, in an order that depends on the seed only; with limit, its first rows."""
-    whole = reduce(DataFrame.unionByName, parts)
-    shuffled = whole.orderBy(F.md5(F.concat(key.cast("string"), F.lit(str(seed)))))
-    return shuffled if limit is None else shuffled.limit(limit)
+    """All parts together, in an order that depends on the seed only; with limit, the first so many rows of each part by key, of which there have to be as many."""
+    whole = reduce(DataFrame.unionByName, parts if limit is None else [first_rows(p, key, limit) for p in parts])
+    return whole.orderBy(F.md5(F.concat(key.cast("string"), F.lit(str(seed)))))
 
 
 def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,6 +60,20 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(values, F.col(order)).alias("_v"), F.min(order).alias(order)).select(key, order, "_v.*")
 
 
+def with_values(rows: DataFrame, lookup: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with the columns of lookup by key, of equal keys the last by order; fails if a key isn't there."""
+    found = written(rows.join(last_by_key(lookup, key, order).drop(order).withColumn("_there", F.lit(1)), key, "left"))
+    missing = found.where("_there is null").select(key).limit(5).collect()
+    if missing:
+        raise ValueError(f"no value for {[r[0] for r in missing]}")
+    return found.drop("_there")
+
+
+def case_keys(rows: DataFrame, *order: str, name: str = "case_id") -> DataFrame:
+    """rows with case1, case2, ... in a total order; a column of that name is replaced."""
+    return row_index(rows.drop(name), *order, name="_place").withColumn(name, F.concat(F.lit("case"), F.col("_place") + 1)).drop("_place")
+
+
 def row_index(rows: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """rows with their place, from 0, in a total order. Rows are sorted by range over all tasks; only the count of each range is carried on."""
     placed = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))

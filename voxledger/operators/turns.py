@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger.functions import text as T
+from voxledger.session import written
 
 
 def lines_of(turns: DataFrame, case: str = "case_id", order: str = "dialogue_no", speaker: str = "real_speaker", dialogue: str = "dialogue") -> DataFrame:
@@ -19,11 +20,11 @@ def assemble_turns(lines: DataFrame) -> DataFrame:
 
     A speaker line opens a turn and the lines after it belong to it, across pages;
     lines before the first one, clock lines and boilerplate are dropped, as are turns
-    without text or that are only an unclear mark. Pages are opened one by one, and only the count of speaker
+    without text or that are only an unclear mark. A line is judged as a clock time
+    with its line number, as boilerplate with and without: "7 11:30 AM" is text. Pages are opened one by one, and only the count of speaker
     lines is carried between them, so a case may have any length.
     """
-    clean = T.drop_line_number(F.trim("line"))
-    live = lines.where(F.col("line").isNotNull()).select("case_id", "page", "line_no", clean.alias("line")).where((F.col("line") != "") & ~T.is_clock_line(F.col("line")))
+    live = lines.where(F.col("line").isNotNull() & ~T.is_clock_line(F.col("line"))).select("case_id", "page", "line_no", T.drop_line_number(F.trim("line")).alias("line")).where((F.col("line") != "") & ~T.is_boilerplate(F.col("line")))
     opened = live.withColumn("opens", T.is_speaker_line(F.col("line")).cast("int"))
     pages = opened.groupBy("case_id", "page").agg(F.sum("opens").alias("n"))
     earlier = pages.select("case_id", "page", F.coalesce(F.sum("n").over(Window.partitionBy("case_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
@@ -34,7 +35,7 @@ def assemble_turns(lines: DataFrame) -> DataFrame:
     joined = F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "part"))), lambda x: x["part"]), lambda p: p != ""), " ")
     turns = parts.groupBy("case_id", "turn").agg(F.max("speaker").alias("real_speaker"), F.min("page").alias("page"), joined.alias("raw"))
     kept = turns.where((F.col("raw") != "") & ~T.is_boilerplate(F.col("raw"))).withColumn("dialogue", T.clean_text(F.col("raw"))).where(~F.col("dialogue").isin("unclear", "inaudible"))
-    return numbered_within(kept, "case_id", "page", "turn", "dialogue_no").select("case_id", F.col("dialogue_no").cast("int"), "real_speaker", "dialogue")
+    return numbered_within(written(kept.select("case_id", "turn", "page", "real_speaker", "dialogue")), "case_id", "page", "turn", "dialogue_no").select("case_id", F.col("dialogue_no").cast("int"), "real_speaker", "dialogue")
 
 
 def numbered_within(rows: DataFrame, group: str, block: str, order: str, name: str) -> DataFrame:

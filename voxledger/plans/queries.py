@@ -12,10 +12,10 @@ from voxledger.functions import vectors as V
 from voxledger.operators import align, scoring, splits, turns
 from voxledger.plans.oracle import SQL
 from voxledger.session import table
-from voxledger.sources.files import parse_segments, parse_words, pending, stem
+from voxledger.sources.files import parse_segments, parse_words, pending, report_lines, stem
 
 #: Literals put after a dialogue, by turn_id, so that every pattern occurs.
-EXTRAS = [" I'm sure we're done, i'll go", " um Uh you know well", " (12%) of 1192-1195 see Section 6A2", " [UNCLEAR] [noise] [INAUDIBLE] on", " at 11:30 AM, 12.5 of 1,000; ok?", " the 1 st, 2 nd", "... so;: be it!", " Page 12b.'"]
+EXTRAS = [" I'm sure we're done, i'll go", " um Uh you know well", " (12%) of 1192-1195 see Section 6A2", " [UNCLEAR] [noise] [INAUDIBLE] on", " at 11:30 AM, 12.5 of 1,000; 10:15:20:30 ok?", " the 1 st, 2 nd", "... so;: be it!", " Page 12b.'"]
 
 
 def extra_text() -> Column:
@@ -45,9 +45,14 @@ def speakers(s: SparkSession, d: str) -> DataFrame:
     return rows.select("turn_id", T.clean_speaker(F.col("real_speaker")).alias("speaker"), T.speaker_key(F.col("real_speaker")).alias("folder"))
 
 
+#: Lines put after a dialogue, by its number: clock times and numbers with and without line number.
+MORE_LINES = ["\n7 11:30 AM", "\n11:30 AM IST", "\n9 42\n43", "\n12 and so on", "\nat 10:15:20:30 sharp", ""]
+
+
 def plain_lines(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "spk_dialg_json").groupBy("case_id", "dialogue_no").agg(F.min_by(F.struct("real_speaker", "dialogue"), "turn_id").alias("r")).select("case_id", "dialogue_no", "r.*")
-    return turns.lines_of(rows)
+    more = F.element_at(F.array(*[F.lit(x) for x in MORE_LINES]), F.col("dialogue_no") % len(MORE_LINES) + 1)
+    return turns.lines_of(rows.withColumn("dialogue", F.concat("dialogue", more)))
 
 
 def line_kinds(s: SparkSession, d: str) -> DataFrame:
@@ -66,7 +71,15 @@ def manifest(s: SparkSession, d: str) -> DataFrame:
 
 def catalog_keys(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "case_catalog").where("mp3_format_link is not null")
-    return rows.select("case_id", F.concat_ws("_", "case_id", F.date_format("hearing_date", "yyyy_MM_dd")).alias("file_key"), T.direct_link(F.col("transcript_link")).alias("link"))
+    # every other recording also as if it were on the one host whose links are rewritten
+    link = F.when(F.length("case_id") % 2 == 0, F.concat("mp3_format_link", F.lit("?at=www.dropbox.com&dl=0"))).otherwise(F.concat("mp3_format_link", F.lit("?dl=0")))
+    return rows.select("case_id", F.concat_ws("_", "case_id", F.date_format("hearing_date", "yyyy_MM_dd")).alias("file_key"), T.direct_link(link).alias("link"))
+
+
+def numbered_cases(s: SparkSession, d: str) -> DataFrame:
+    """The catalog keyed anew in the order of its dates and links."""
+    rows = table(s, d, "case_catalog").select(F.col("case_id").alias("was"), "hearing_date", "mp3_format_link").withColumn("case_id", F.lit("x"))
+    return splits.case_keys(rows, "hearing_date", "was").select("was", "case_id")
 
 
 def catalog_counts(s: SparkSession, d: str) -> DataFrame:
@@ -125,36 +138,53 @@ def split_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    """Evaluation transcripts as references; the hypothesis loses, changes and doubles words by position."""
+    """Evaluation transcripts as references; the hypothesis loses, changes and doubles words by position, and some say much that nobody said."""
     rows = table(s, d, "validation").where("transcription is not null")
     words = T.word_list(F.col("transcription"))
     at = lambda i: F.col("row_id") + i
-    heard = F.transform(words, lambda w, i: F.when(at(i) % 11 == 5, "").when(at(i) % 7 == 3, "zz").when(at(i) % 13 == 1, F.concat(w, F.lit(" "), w)).otherwise(w))
-    return rows.select(F.col("row_id").alias("id"), F.array_join(words, " ").alias("reference"), F.array_join(F.filter(heard, lambda w: w != ""), " ").alias("hypothesis"))
+    heard = F.transform(words, lambda w, i: F.when(at(i) % 11 == 5, "").when(at(i) % 7 == 3, "zz").when(at(i) % 13 == 1, F.concat(w, F.lit(" "), w)).when(F.col("row_id") % 17 == 0, F.concat(w, F.lit(" yy yy"))).otherwise(w))
+    return rows.select(F.col("row_id").alias("id"), F.array_join(words, " ").alias("reference"), F.array_join(F.filter(heard, lambda w: w != ""), " ").alias("hypothesis"), "audio_path")
+
+
+def scored_files(s: SparkSession, d: str) -> DataFrame:
+    """The same by audio file: of rows that name one file the last counts."""
+    rows = scored(s, d).withColumnRenamed("id", "row_no")
+    return rows.select(F.coalesce(stem(F.col("audio_path")), F.col("row_no").cast("string")).alias("id"), "row_no", "reference", "hypothesis")
 
 
 def wer_distance(s: SparkSession, d: str) -> DataFrame:
-    return scoring.detail(scored(s, d)).select("id", "n", "wrong")
+    return scored(s, d).select("id", F.size(T.word_list(F.col("reference"))).cast("bigint").alias("n"), scoring.word_distance(F.col("reference"), F.col("hypothesis")).alias("wrong"))
 
 
 def alignment_detail(s: SparkSession, d: str) -> DataFrame:
-    return scoring.detail(scored(s, d))
+    return scoring.detail(scored(s, d)).withColumn("path", F.array_join(F.transform("path", lambda x: F.concat_ws("-", x["ref_pos"], x["hyp_pos"])), " "))
+
+
+def report_lines_(s: SparkSession, d: str) -> DataFrame:
+    return report_lines(scoring.detail(scored_files(s, d)))
 
 
 def corpus_wer(s: SparkSession, d: str) -> DataFrame:
-    return scoring.error_rate(scored(s, d)).select("n", "wrong", "sentences", "wrong_sentences", "rate", "sentence_rate")
+    return scoring.error_rate(scored_files(s, d), kinds=False)
 
 
 def corpus_counts(s: SparkSession, d: str) -> DataFrame:
-    return scoring.error_rate(scored(s, d))
+    return scoring.error_rate(scored_files(s, d))
+
+
+def corpus_wer_normal(s: SparkSession, d: str) -> DataFrame:
+    """Rates over texts in basic normal form; the references' capitals, marks and brackets are put in first."""
+    marked = scored_files(s, d).withColumn("reference", F.concat(F.initcap("reference"), F.lit(". (Aside) [x] A-b!"))).withColumn("hypothesis", F.concat("hypothesis", F.lit(" a b")))
+    return scoring.normal_error_rate(marked)
 
 
 def corpus_cer(s: SparkSession, d: str) -> DataFrame:
-    return scoring.char_error_rate(scored(s, d))
+    return scoring.char_error_rate(scored_files(s, d))
 
 
 def wer_filter(s: SparkSession, d: str) -> DataFrame:
-    return wer_distance(s, d).where("n > 0 and wrong * 100 <= n * 25").select("id")
+    """Labels of a rate of at most 100 %."""
+    return scoring.sane_labels(wer_distance(s, d)).select("id")
 
 
 def semantic(s: SparkSession, d: str) -> DataFrame:
@@ -178,11 +208,16 @@ def pending_files(s: SparkSession, d: str) -> DataFrame:
     return pending(table(s, d, "segment_ctm").select(name).distinct(), done, "name")
 
 
+#: The labels that the published medium and large speech models take at most.
+MOST_LABELS = 448
+
+
 def mixed_train(s: SparkSession, d: str) -> DataFrame:
+    """Two data sets together, with the prompt of their names' language family, without labels that are too long."""
     labels = F.transform(T.word_list(F.col("transcription")), lambda w: F.length(w))
-    parts = [table(s, d, t).select("row_id", "split", labels.alias("labels")) for t in ("train", "validation")]
+    parts = [table(s, d, t).select("row_id", labels.alias("labels"), T.prompt_family(F.lit(name)).alias("prompt")) for t, name in (("train", "sets/hindi_hearings"), ("validation", "sets/kannada_hearings"))]
     whole = splits.mix_datasets(parts, 42, F.col("row_id"))
-    return whole.where(V.label_length_ok(F.col("labels"), 40)).select("row_id", F.when(F.col("split") == "train", "hi").otherwise(F.lit(None)).alias("prompt"), F.size("labels").cast("bigint").alias("n_labels"))
+    return whole.where(V.label_length_ok(F.col("labels"), MOST_LABELS)).select("row_id", "prompt", F.size("labels").cast("bigint").alias("n_labels"))
 
 
 def eval_limit(s: SparkSession, d: str) -> DataFrame:
@@ -240,6 +275,24 @@ def train_files(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("cs").alias("cs"))
 
 
+def corpus_chunks(s: SparkSession, d: str) -> DataFrame:
+    """From segments, words, dialogues and recordings to named chunks of the cases that have all."""
+    once = table(s, d, "spk_dialg_json").where("dialogue is not null").groupBy("case_id", "dialogue_no").agg(F.min_by(F.struct("real_speaker", "dialogue"), "turn_id").alias("r")).select("case_id", "dialogue_no", "r.real_speaker", F.lower("r.dialogue").alias("dialogue"))
+    audio = table(s, d, "case_catalog").where("mp3_format_link is not null").select("case_id")
+    return align.aligned_chunks(segments(s, d), segment_word_rows(s, d), once, audio)
+
+
+def texts_of_files(s: SparkSession, d: str) -> DataFrame:
+    """The last transcription of each test file, put to the file."""
+    named = table(s, d, "test").where("audio_path is not null").select(stem(F.col("audio_path")).alias("id"), "row_id", "transcription")
+    return splits.with_values(named.select("id").distinct(), named, "id", "row_id")
+
+
+def embedded_tokens(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "validation").select(F.col("row_id").alias("id"), F.col("transcription").alias("text"))
+    return scoring.embed_tokens(rows).select("id", F.array_join("pieces", " ").alias("pieces"), F.size("vectors").alias("n_vectors"))
+
+
 def embedded_texts(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "validation").select(F.col("row_id").alias("id"), F.col("transcription").alias("text"))
     return scoring.embed_texts(rows)
@@ -262,6 +315,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_wer": corpus_wer,
     "corpus_cer": corpus_cer,
     "corpus_counts": corpus_counts,
+    "corpus_wer_normal": corpus_wer_normal,
+    "report_lines": report_lines_,
     "wer_distance": wer_distance,
     "wer_filter": wer_filter,
     "alignment_detail": alignment_detail,
@@ -282,16 +337,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest": manifest,
     "catalog_keys": catalog_keys,
     "catalog_counts": catalog_counts,
+    "numbered_cases": numbered_cases,
     "ctm_segments": ctm_segments,
     "ctm_words": ctm_words,
     "segment_words": segment_words,
     "segment_speaker": segment_speaker,
     "chunks": chunks,
+    "corpus_chunks": corpus_chunks,
     "vad_timeline": vad_timeline,
     "speech_length": speech_length,
     "split_members": split_members,
     "split_counts": split_counts,
     "lookup_last": lookup_last,
+    "texts_of_files": texts_of_files,
     "test_files": test_files,
     "pending_files": pending_files,
     "mixed_train": mixed_train,
@@ -306,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_numbers": row_numbers,
     "train_files": train_files,
     "embedded_texts": embedded_texts,
+    "embedded_tokens": embedded_tokens,
 }
 
 
