@@ -48,22 +48,28 @@ TIME_SHARE, TIME_SPREAD = 0.98, 0.4
 #: Labels go to every task up to this many; beyond, they are joined.
 BROADCAST_LABELS = 200_000
 
-#: Digits in groups, with a day's half and zone, in one bracket or none.
-TIME = re.compile(r"(?P<open>[\[(<]\s*)?(?<![\w:.])(?P<value>\d{1,4}(?:[:.hH]\d{1,4}){1,3}[sS]?)(?P<half>\s?(?:[AaPp][Mm]|[ap]\.m\.)(?![A-Za-z]))?(?:\s(?:IST|EST|GMT|UTC)\b)?(?![\w:]|\.\d)(?P<close>\s*[\])>])?")
-NOISE = re.compile(rf"(?P<time>{TIME.pattern})|{ANNOTATION}")
+#: Digits in groups, with a day's half and zone, in one bracket or none. Patterns begin with what narrows their search.
+VALUE = r"(?:\d{0,3}(?:[:.hH]\d{1,4}){1,3}[sS]?)"
+HALF = r"(?:(?P<{}>\s?(?:[AaPp][Mm]|[ap]\.m\.)(?![A-Za-z]))?(?:\s(?:IST|EST|GMT|UTC)\b)?)"
+NOISE = re.compile(rf"(?P<open>[\[(<])\s*(?P<held>\d{VALUE}){HALF.format('held_half')}\s*(?P<close>[\])>])|{ANNOTATION}|(?P<bare>\d(?<![\w:.].){VALUE}){HALF.format('bare_half')}(?![\w:]|\.\d)")
 SPECIAL = re.compile(r"[\[({<*]|\d[:.hH]\d")
 COLON = re.compile(r"\s*:(?=\s|$)")
 TOKEN = re.compile(r"[\w'’.,()&/-]*\w[\w'’.,()&/-]*")
 BEFORE = re.compile(r"(>>|\S)\s*$")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-FILLER = re.compile(r"(?<![\w'])(?:um+|uh+|hm+|er+m?|ah+|mm+|you know|i mean)(?![\w'])", re.IGNORECASE)
+#: um, uh, hm, er, erm, ah, mm with any number of their last letter, "you know", "i mean"; neither part of a word.
+FILLER = re.compile(r"[uUhHeEaAmMyYiI](?<![\w'].)(?:(?<=[uU])(?:[mM]+|[hH]+)|(?<=[hHmM])[mM]+|(?<=[eE])[rR]+[mM]?|(?<=[aA])[hH]+|(?<=[yY])[oO][uU] [kK][nN][oO][wW]|(?<=[iI]) [mM][eE][aA][nN])(?![\w'])")
+MARKS = ".,;:!?-–—"
+DOUBLED = re.compile(r"[.,;:!?]\s*[,;:.]|\s[.,;:!?]")
 #: What stands for a cut-out time while labels are looked for.
 HOLE = "\x01"
 
 
-def form_of(m: re.Match) -> str:
-    """A time's brackets, number of digits and marks."""
-    return f"{(m['open'] or '').strip()}{re.sub(r'[0-9]', '9', m['value'])}{' half' if m['half'] else ''}{(m['close'] or '').strip()}"
+def time_in(m: re.Match) -> tuple[str, str] | None:
+    """The value of a time, and its form: brackets, number of digits and marks. None for an annotation."""
+    if m["held"]:
+        return m["held"], f"{m['open']}{re.sub(r'[0-9]', '9', m['held'])}{' half' if m['held_half'] else ''}{m['close']}"
+    return (m["bare"], f"{re.sub(r'[0-9]', '9', m['bare'])}{' half' if m['bare_half'] else ''}") if m["bare"] else None
 
 
 def time_of(value: str) -> tuple[bool, int]:
@@ -81,9 +87,8 @@ def without_noise(text: str, clocks: frozenset[str] | None) -> str:
         return text
 
     def cut(m: re.Match) -> str:
-        if m["time"] is None:
-            return " "
-        return f" {HOLE} " if clocks is None or form_of(m) in clocks else m.group()
+        time = time_in(m)
+        return " " if time is None else f" {HOLE} " if clocks is None or time[1] in clocks else m.group()
 
     return NOISE.sub(cut, text)
 
@@ -101,11 +106,11 @@ def has_words(text: str) -> bool:
 
 def clean(text: str) -> str:
     """Text without fillers, marks left alone and surplus blanks."""
-    t = FILLER.sub(" ", text.replace(HOLE, " "))
-    t = re.sub(r">>|(?<!\S)[.,;:!?\-–—]+(?!\S)", " ", t)
-    t = re.sub(r"\s+([.,;:!?])", r"\1", t)
-    t = re.sub(r"([.,;:!?])(?:\s*[,;:.])+", r"\1", t)
-    return re.sub(r"^[\s.,;:!?]+", "", re.sub(r"\s+", " ", t)).strip()
+    t = " ".join([w for w in FILLER.sub(" ", text.replace(HOLE, " ")).replace(">>", " ").split() if w[0].isalnum() or w.strip(MARKS)])
+    if DOUBLED.search(t):
+        t = re.sub(r"\s+([.,;:!?])", r"\1", t)
+        t = re.sub(r"([.,;:!?])(?:\s*[,;:.])+", r"\1", t)
+    return t.lstrip(" .,;:!?")
 
 
 @dataclass
@@ -207,9 +212,11 @@ def mine(rows: DataFrame) -> DataFrame:
             times: dict[str, list] = {}
             for d in pdf["dialogue"]:
                 if SPECIAL.search(d):
-                    for m in TIME.finditer(d):
-                        t = times.setdefault(form_of(m), [0, 0, set()])
-                        ok, second = time_of(m["value"])
+                    for m in NOISE.finditer(d):
+                        if not (time := time_in(m)):
+                            continue
+                        t = times.setdefault(time[1], [0, 0, set()])
+                        ok, second = time_of(time[0])
                         t[0], t[1] = t[0] + 1, t[1] + ok
                         if ok:
                             t[2].add(second)
