@@ -74,6 +74,10 @@ def test_truncated(spark):
     got = {r["doc_id"]: r["reason"] for r in truncation.truncated(df).collect()}
     assert {k for k, r in got.items() if r} == {501, 502, 503, 505, 506, 509, 510} | set(range(600, 630))
     assert 507 not in got and 508 not in got and all(got[600 + k] == "limit" for k in range(30))
+    # an older, smaller field of the same source
+    two = df.union(spark.createDataFrame([(700 + k, "xy " + (whole.format(people[k % 10], people[k // 10 + 3]) * 9)[k : k + 117], "capped", "x", True) for k in range(12)], df.schema))
+    got = {r["doc_id"]: r["reason"] for r in truncation.truncated(two).where("source = 'capped'").collect()}
+    assert set(got.values()) == {"limit"} and len(got) == 42
     shares = {r["source"]: r["share_cut"] for r in truncation.shares(truncation.truncated(df)).collect()}
     assert shares["capped"] == 1.0 and shares[None] == 1.0
     assert truncation.truncated(df.limit(0)).count() == 0
