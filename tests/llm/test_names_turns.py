@@ -31,6 +31,7 @@ PEOPLE = [
     ["DR. DAMIRUDEV V. EKSHUSAR", "DV EKSHUSAR", "DAM1RUDEV EKSHUSAR", "DR. D. V. EKSHUSAR", "EKSHUSAR DAMIRUDEV V."],
     ["JUSTICE KARADEV VARVEK", "VARVEK J.", "Varvek, J", "CJ K_VARVEK", "KARA. VARVEK", "HON'BLE MR. JUSTICE VARVEK"],
     ["CENTRAL TEXTILE BOARD OF ZELLTOR", "THE CENTRAL TEXTILE BOARD OF ZELLTOR", "ZELLTOR, CENTRAL TEXTILE BOARD OF", "CEN. TEXTILE BOARD, ZELLTOR", "CENTRAL TEXTLE BOARD OF ZELLTOR", "COUNSEL FOR CTB ZELLTOR", "C.T.B. ZELLTOR", "CENTRAL TEXTILE BD. OF ZELLTOR", "CENTRAL TEXTILE BOARD (ZELLTOR)"],
+    ["STATE BANK OF INDIMOOR", "INDIMOOR, STATE BANK OF", "STATE BANK (INDIMOOR)", "STATE BNAK OF INDIMOOR", "ST. BANK, INDIMOOR"],
 ]
 
 

@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people.
 
 A label is read into parts (title, given name, middle, surname; or the words and
-place of an organisation). Distinct surnames and places lie in a metric space
+place of an organisation; what kinds of organisations there are is counted from the
+labels). Distinct surnames and places lie in a metric space
 under Levenshtein distance: each goes to the cell of its nearest pivot, boundary
 names are copied to every cell that the triangle inequality can't rule out, and
 within a cell a join on rings of distance to the pivot finds exactly the pairs
@@ -26,19 +27,21 @@ from pyspark.sql import functions as F
 
 from voxledger.llm.edits import damerau, levenshtein
 from voxledger.llm.splits import hash_to_min
+from voxledger.session import written
 
 #: Two single edits, or one swap of neighbours, in Levenshtein distance.
 RADIUS = 2
 PIVOTS = 24
 #: Pivots are chosen among at most so many names; all names are joined.
 PIVOT_SAMPLE = 512
+#: Share of the labels "... kind OF place" in which a kind of organisation has to stand, of four letters at least, to be known in other forms.
+KIND_SHARE, KIND_LETTERS = 0.0005, 4
 #: The table of given names may hold at most so many rows, as every task gets it.
 MOST_GIVEN = 100_000
 
 # fixed values: words of labels
 TITLES = {"JUSTICE": "J", "CJ": "J", "CJI": "J", "HON'BLE": "", "HONBLE": "", "MR": "MR", "MS": "MS", "MRS": "MS", "DR": "DR", "ADV": "ADV", "ADVOCATE": "ADV", "SR": "SR", "SHRI": "MR", "SMT": "MS", "LD": ""}
 ROLES = {"JUDGE", "COUNSEL", "PETITIONER'S", "RESPONDENT'S", "APPELLANT'S", "PETITIONER", "RESPONDENT", "APPELLANT", "THE", "FOR", "WITNESS", "COURT", "MASTER", "UNIDENTIFIED", "UNKNOWN", "SPEAKER", "CLERK", "REGISTRAR", "BENCH", "INTERPRETER", "STENOGRAPHER", "REPORTER", "OFFICER"}
-KINDS = ["BOARD", "COUNCIL", "COMMISSION", "AUTHORITY", "ASSOCIATION", "CORPORATION", "COMMITTEE", "FEDERATION", "UNION", "SOCIETY", "TRUST"]
 MISREAD = str.maketrans("013568", "OIESGB")
 REMARK = re.compile(r"\((?:VIA|FOR|THROUGH|ON BEHALF)\b[^)]*\)")
 
@@ -58,10 +61,31 @@ class Parts:
     either: str = ""  # a title that two initials may stand for
 
 
+def shortens(word: str, full: str) -> bool:
+    """The letters of a word of two at least follow in the other's order, from its first on."""
+    letters = iter(full)
+    return len(word) >= 2 and word[0] == full[0] and all(x in letters for x in word)
+
+
+def kinds_of_organisations(labels: DataFrame) -> list[str]:
+    """The words that labels "... kind OF place" and "place, ... kind OF" (label) have there, most frequent first, without misspellings and abbreviations of one another; at most 1 / KIND_SHARE."""
+    text = F.regexp_replace(F.upper("label"), r"[\s_]+", " ")
+    found = labels.select(F.coalesce(F.nullif(F.regexp_extract(text, r" ([A-Z]+)[.,]* OF [^,()]+$", 1), F.lit("")), F.nullif(F.regexp_extract(text, r", .* ([A-Z]+)[.,]* OF\s*:?$", 1), F.lit(""))).alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+    counted = written(found)
+    whole = counted.agg(F.sum("n")).first()[0] or 0
+    kept: list[str] = []
+    for r in counted.where((F.col("n") >= KIND_SHARE * whole) & (F.length("kind") >= KIND_LETTERS)).orderBy(F.desc("n"), "kind").collect():
+        if not any(damerau(r["kind"], k, 1) <= 1 or shortens(r["kind"], k) for k in kept):
+            kept.append(r["kind"])
+    return kept
+
+
 class Reader:
-    """Reads labels, knowing given names and their short forms."""
+    """Reads labels, knowing given names, their short forms, and kinds of organisations."""
 
-    def __init__(self, short: dict[str, str]) -> None:
+    def __init__(self, short: dict[str, str], kinds: list[str] | None = None) -> None:
+        self.kinds = kinds or []
+        self.kind_seen: dict[str, str] = {}
         self.full = set(short.values())
         self.short = short
         self.seen: dict[str, str] = {}
@@ -98,30 +122,26 @@ class Reader:
         if m := re.match(r"((?:[A-Z]\.){2,}|[A-Z]{2,4}(?= [A-Z]{4,}$))\s*([A-Z]{3,})$", rest) if counsel or re.match(r"(?:[A-Z]\.){3,}", rest) else None:
             letters = m[1].replace(".", "")
             return Parts("org", m[2], words=tuple(letters))
+        sure = True  # a person's label has no OF
         if m := re.match(r"([^,()]+?),\s*(.+) OF$", rest):
             place, words = m[1], m[2]
         elif m := re.match(r"(.+?) OF ([^,()]+)$", rest):
             words, place = m[1], m[2]
         elif m := re.match(r"(.+?)\s*\(([^()]+)\)$", rest):
-            words, place = m[1], m[2]
+            words, place, sure = m[1], m[2], False
         elif m := re.match(r"(.+),\s*([^,()]+)$", rest):
-            words, place = m[1], m[2]
+            words, place, sure = m[1], m[2], False
         else:
             return None
         parts = [w.strip(".,") for w in words.split()]
-        if len(parts) < 2 or not self.kind_of(parts[-1]):
-            return None
-        return Parts("org", place.strip(" .,"), words=(*parts[:-1], self.kind_of(parts[-1])))
+        kind = self.kind_of(parts[-1]) or (parts[-1] if sure else "")
+        return Parts("org", place.strip(" .,"), words=(*parts[:-1], kind)) if len(parts) > 1 and kind else None
 
-    @staticmethod
-    def kind_of(word: str) -> str:
+    def kind_of(self, word: str) -> str:
         """The kind of organisation that a word, its misspelling or its abbreviation names; else ''."""
-
-        def shortens(k: str) -> bool:
-            letters = iter(k)
-            return len(word) >= 2 and word[0] == k[0] and all(x in letters for x in word)
-
-        return next((k for k in KINDS if damerau(word, k, 1) <= 1), "") or next((k for k in KINDS if shortens(k)), "")
+        if word not in self.kind_seen:
+            self.kind_seen[word] = next((k for k in self.kinds if damerau(word, k, 1) <= 1), "") or next((k for k in self.kinds if shortens(word, k)), "")
+        return self.kind_seen[word]
 
     def person(self, text: str, remark: bool = False) -> Parts:
         p = Parts("person")
@@ -346,17 +366,17 @@ def resolve_labels(labels: DataFrame, nicknames: DataFrame) -> DataFrame:
     if n > MOST_GIVEN:
         raise ValueError(f"{n} nicknames; at most {MOST_GIVEN} can go to every task")
     short = {r["nickname"].upper(): r["given_name"].upper() for r in nicknames.where("nickname is not null and given_name is not null").collect()}
+    live = labels.where("label is not null and trim(label) != ''")
+    kinds = kinds_of_organisations(live)
     schema = "label string, n bigint, kind string, anchor string"
 
     def read(batches):
-        reader = Reader(short)
+        reader = Reader(short, kinds)
         for pdf in batches:
             parts = [reader.read(x) for x in pdf["label"]]
             yield pd.DataFrame({"label": pdf["label"], "n": pdf["n"], "kind": [p.kind for p in parts], "anchor": [p.anchor for p in parts]})
 
-    from voxledger.session import written
-
-    parsed = written(labels.where("label is not null and trim(label) != ''").mapInPandas(read, schema))
+    parsed = written(live.mapInPandas(read, schema))
     anchors = parsed.where("kind != 'role'").select(F.concat(F.substring("kind", 1, 1), F.col("anchor")).alias("name")).distinct()
     near = radius_join(anchors).where(F.substring("a", 1, 1) == F.substring("b", 1, 1))
 
@@ -369,7 +389,7 @@ def resolve_labels(labels: DataFrame, nicknames: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("component", F.coalesce("component", "name"))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        reader = Reader(short)
+        reader = Reader(short, kinds)
         rows = [(x, int(k), reader.read(x)) for x, k in zip(pdf["label"], pdf["n"])]
         found = {}
         found |= resolve_people([r for r in rows if r[2].kind == "person"])
