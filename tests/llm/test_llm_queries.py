@@ -1,3 +1,4 @@
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -29,4 +30,11 @@ def test_rest_stands_alone():
     for path in (root / "voxledger").rglob("*.py"):
         if "llm" not in path.parts:
             assert "voxledger.llm" not in path.read_text() and "import llm" not in path.read_text(), path
-    subprocess.run([sys.executable, "-c", "import voxledger.plans.queries"], cwd=root, check=True)
+
+
+def test_without_this_subpackage(tmp_path):
+    root = Path(__file__).parents[2]
+    shutil.copytree(root / "voxledger", tmp_path / "voxledger", ignore=lambda folder, names: [n for n in names if n in ("llm", "__pycache__")])
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('p1_') for q in e.queries()))"], cwd=tmp_path, check=True, capture_output=True, text=True).stdout.split()
+    assert int(told[0]) > 50 and int(told[1]) > 45 and told[2] == "False"

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.llm.paths import chunk_key
+from voxledger.llm.turns import small
+from voxledger.session import written
 
 LIMIT = 30.0
 OVERLAP = 3
@@ -144,7 +146,7 @@ def segment_seconds(segments: DataFrame) -> DataFrame:
     timed = segments.withColumn("n_words", n).withColumn("_raw", F.when(raw > 0, raw))
     unit = timed.groupBy("case_id").agg((F.sum(F.when(F.col("n_words") > 0, F.col("_raw"))) / F.sum(F.when(F.col("_raw").isNotNull(), F.col("n_words")))).alias("_ratio"))
     unit = unit.select("case_id", F.when(F.col("_ratio") < 60, F.lit(1.0)).when(F.col("_ratio") < 1600, F.lit(1e-3)).otherwise(F.when(F.col("_ratio").isNull(), F.lit(1.0)).otherwise(F.lit(1 / 16000))).alias("_unit"))
-    return timed.join(unit, "case_id", "left").withColumn("seconds", F.round(F.col("_raw") * F.coalesce("_unit", F.lit(1.0)), 2)).drop("_raw", "_unit")
+    return timed.join(small(written(unit)), "case_id", "left").withColumn("seconds", F.round(F.col("_raw") * F.coalesce("_unit", F.lit(1.0)), 2)).drop("_raw", "_unit")
 
 
 def train_seconds(train: DataFrame, timed: DataFrame) -> DataFrame:
