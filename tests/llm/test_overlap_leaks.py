@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,6 +163,65 @@ def test_leaks_in_many_copies(spark):
     assert got == [(2000 + k, 1) for k in range(30)] + [(3000 + k, 2) for k in range(30)] + [(4000, 3)]
 
 
+def test_leaks_in_few_of_many_documents(spark):
+    """The space is fitted on all documents: what one of many quotes has its directions, too."""
+    words = iter(["%s%s" % (a, b) for a in NOUNS for b in NOUNS])
+    items = [(i, " ".join(next(words) for _ in range(25))) for i in range(40)]
+    docs = [(k, "nothing of any item here") for k in range(12_000)] + [(20_000 + i, "before " + t + " after") for i, t in items]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(map(tuple, leaks.find_leaks(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()))
+    assert got == [(20_000 + i, i) for i, _ in items]
+
+
+def test_space_of_all_documents(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [leaks.item_words(sentence(rng, 30)) for _ in range(12)]
+    vocabulary = leaks.Vocabulary(texts)
+    pairs = leaks.Pairs([vocabulary.numbers(t) for t in texts], vocabulary.size)
+    docs = [(k, b" ".join(rng.choice(texts)[: rng.randint(2, 30)]).decode()) for k in range(6_000)]
+    numbered = leaks.number_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), vocabulary)
+    idf = np.append(np.linspace(1, 2, pairs.size), 0)
+
+    def features(batch):
+        flat, begin, blocks = leaks.lay([np.frombuffer(x, dtype=np.uint16) for x in batch], vocabulary.size)
+        return None, begin, blocks, pairs.of(flat)
+
+    _, _, blocks, pair = features([x["ids"] for x in numbered.collect()])
+    passages = leaks.window_vectors(np.vstack([np.diag(idf[:-1]), np.zeros(pairs.size)]), pair, blocks)[0]
+    want = np.random.default_rng(0).standard_normal((pairs.size + 1, leaks.RANK))[:-1]
+    for _ in range(leaks.ROUNDS):
+        want = np.linalg.qr(passages.T @ (passages @ want))[0]
+    got = leaks.fit_space(numbered.repartition(7), features, idf)[:-1]
+    assert np.allclose(got @ got.T, want @ want.T, atol=0.01)
+
+
+def test_candidates_beside_the_space():
+    """A document that holds enough of an item's pairs is looked at whatever the space says; here it says nothing."""
+    rng = random.Random(12)
+    texts = [leaks.item_words(sentence(rng, 40)) for _ in range(12)] + [[], [b"alone"]]
+    vocabulary = leaks.Vocabulary(texts)
+    items = [vocabulary.numbers(t) for t in texts]
+    pairs = leaks.Pairs(items, vocabulary.size)
+    common, formula = (np.append([rng.random() < p for _ in range(pairs.size)], False) for p in (0.5, 0.3))
+    formula = (common & formula) | np.isin(np.arange(pairs.size + 1), pairs.of(items[3])[:-1])
+    common = common | formula
+    find = leaks.Search(list(range(len(items))), items, pairs, np.zeros((pairs.size + 1, leaks.RANK), dtype=np.float32), common, formula)
+    parts = [np.concatenate([items[k][: rng.randint(2, 40)] for k in rng.sample(range(12), rng.randint(1, 4))]) for _ in range(300)] + [items[0][:0]]
+    flat, begin, blocks = leaks.lay(parts, vocabulary.size)
+    got = {(d, k) for d, ks in find.candidates(pairs.of(flat), blocks) for k in ks}
+    want = set()
+    for d, part in enumerate(parts):
+        held = set(pairs.of(part).tolist()) - {pairs.size}
+        for k in range(12):
+            own = set(pairs.of(items[k])[:-1].tolist())
+            own = {p for p in own if not formula[p]} or own
+            rare = {p for p in own if not common[p]}
+            n, shared = len(held & rare), len(held & own - rare)
+            if n + shared and n >= 0.2 * len(rare) or shared and n + shared >= 0.2 * (len(rare) + shared):
+                want.add((d, k))
+    assert got == want and 300 < len(want) < 12 * 300
+
+
 @pytest.mark.parametrize(("a", "b"), [(b"tanslated", b"translated"), (b"refinerry", b"refinery"), (b"certifed", b"certified"), (b"judgmemt", b"judgment")])
 def test_misread(a, b):
     v = leaks.Vocabulary([[b, b"other", b"um", b"12"]])

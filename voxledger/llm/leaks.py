@@ -3,14 +3,15 @@
 Latent semantic retrieval: passages of all documents and of the held-out items are
 TF-IDF vectors over the items' pairs of neighbouring words; a randomised subspace
 iteration, run over partitions, gives their leading singular directions; passages
-whose cosine in that space is high are candidates. A candidate document leaks an
-item if, within one stretch of it, enough of the item's words follow in the item's
+whose cosine in that space is high are candidates. So are documents that hold as
+many of an item's pairs as the check asks for, as text between an item's words may
+turn their passages away from it. A candidate document leaks an item if, within one stretch of it, enough of the item's words follow in the item's
 order, each next to another one, and not only words of common formulas. What is
 common is counted over different texts, for each item over those without a passage
 of it: a passage that many documents quote isn't a formula.
 
-The space is fitted on the passages of at most FIT_DOCUMENTS documents; document
-frequencies, the search and the check cover all documents and all of each.
+Document frequencies, the space, the search and the check cover all documents and
+all of each.
 
 Defined results: null and empty texts leak nothing; an item without words is
 found nowhere; repeated documents and items each count; an empty table gives an
@@ -24,10 +25,11 @@ import math
 import pickle
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ WINDOW, STEP = 32, 16
 QUERY, QUERY_STEP = 20, 10
 RANK = 64
 ROUNDS = 3
-FIT_DOCUMENTS = 4000
-#: Tasks that fit it; each sends one matrix of features x RANK to the driver per round.
-FIT_TASKS = 4
+#: Features whose rows of a fitting task's matrix are sent together.
+FEATURES = 64
+#: Bytes of word numbers that a fitting task lays end to end at once, one document at least.
+AT_ONCE = 1 << 20
 COSINE = 0.5
 #: Share of an item's words that have to follow in order; of its pairs that are not common, likewise.
 SHARE, RARE_SHARE = 0.4, 0.2
@@ -173,6 +176,35 @@ def window_vectors(rows: np.ndarray, pair: np.ndarray, blocks: np.ndarray) -> tu
     return sums, owner, joined
 
 
+def add_rows(total: np.ndarray, feature: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+    """Adds to the features' rows of total the rows at the places given; the last of rows is zero.
+
+    Each feature's places are filled up to whole eights, which are summed before the rest: ``reduceat`` over all takes five times as long.
+    """
+    if not len(feature):
+        return
+    order = np.argsort(feature.astype(np.uint16) if len(total) <= 65536 else feature, kind="stable")
+    feature, at = feature[order], at[order]
+    edge = np.flatnonzero(np.diff(feature, prepend=-1))
+    n = np.diff(edge, append=len(feature))
+    eights = (n + 7) // 8
+    begin = np.cumsum(eights) - eights
+    filled = np.full(int(eights.sum()) * 8, len(rows) - 1)
+    filled[np.arange(len(feature)) + np.repeat(begin * 8 - edge, n)] = at
+    sums = np.concatenate([rows.take(filled[k : k + 2048], axis=0).reshape(-1, 8, rows.shape[1]).sum(1) for k in range(0, len(filled), 2048)])
+    total[feature[edge]] += np.add.reduceat(sums, begin, axis=0)
+
+
+def portions(batch: pd.Series) -> Iterator[pd.Series]:
+    """The batch in parts of at most AT_ONCE bytes, or of one document."""
+    ends = batch.map(len).cumsum().to_numpy()
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, AT_ONCE + (ends[at - 1] if at else 0), side="right")))
+        yield batch.iloc[at:end]
+        at = end
+
+
 class Search:
     """The items as query vectors, and the check of what is found."""
 
@@ -197,6 +229,11 @@ class Search:
             self.follow.append(follow)
             self.own.append({int(p) for p in pair[:-1] if p < pairs.size and not formula[p]})
             self.rare.append({p for p in self.own[k] if not common[p]})
+        # the items that hold each feature: those of feature p are holders[first[p] : first[p + 1]]
+        pair, item = np.asarray([(p, k) for k, x in enumerate(items) for p in self.own[k] or set(pairs.of(x)[:-1].tolist()) - {pairs.size}], dtype=np.int64).reshape(-1, 2).T
+        self.holders = item[np.argsort(pair, kind="stable")]
+        self.first = np.searchsorted(np.sort(pair), np.arange(pairs.size + 1))
+        self.n_rare = np.asarray([len(x) for x in self.rare])
         q = np.asarray(vectors, dtype=np.float32).reshape(-1, rows.shape[1])
         norm = np.linalg.norm(q, axis=1)
         keep = norm > 1e-6
@@ -204,22 +241,39 @@ class Search:
         self.item = np.asarray(self.item, dtype=np.int64)[keep]
 
     def candidates(self, pair: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """Each document that has passages of a high cosine, with their items."""
+        """Each document that has passages of a high cosine or holds enough of an item's pairs, with the items."""
+        n = len(self.items)
         vectors, owner, _ = window_vectors(self.rows, pair, blocks)
         norm = np.linalg.norm(vectors, axis=1)
         live = np.flatnonzero(norm > 1e-6)
-        found = [np.zeros(0, dtype=np.int64)]
-        for k in range(0, len(live), 2048):
-            some = live[k : k + 2048]
-            cos = (vectors[some] / norm[some, None]) @ self.queries
-            at, query = np.divmod(np.flatnonzero(cos.ravel() >= COSINE), max(1, cos.shape[1]))
-            found.append(np.unique(owner[some[at]] * len(self.items) + self.item[query]))
-        both = np.unique(np.concatenate(found))
-        document, item = np.divmod(both, max(1, len(self.items)))
+        near = np.zeros(len(blocks) * n, dtype=bool)
+        for k in range(0, len(live), 256):
+            some = live[k : k + 256]
+            at, query = np.divmod(np.flatnonzero(vectors[some] @ self.queries >= COSINE * norm[some, None]), max(1, self.queries.shape[1]))
+            near[owner[some[at]] * n + self.item[query]] = True
+        # the check would turn down what is near but holds too few pairs; an item without rare pairs asks for none
+        enough = self.holding(pair, blocks)
+        document, item = np.divmod(np.flatnonzero(enough | near & np.tile(self.n_rare == 0, len(blocks))), max(1, n))
         edge = np.flatnonzero(np.diff(document, prepend=-1))
         for d, items in zip(document[edge].tolist(), np.split(item, edge[1:]) if len(edge) else []):
             yield d, items.tolist()
 
+    def holding(self, pair: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Whether the document holds as many of the item's pairs as ``leaked`` asks for, at document x items + item: text between its words may turn a passage away from the item in the space."""
+        n = len(self.items)
+        owner = np.repeat(np.arange(len(blocks)), blocks * STEP)
+        live = np.flatnonzero(pair < self.pairs.size)
+        key = np.sort(owner[live] * self.pairs.size + pair[live])
+        document, feature = np.divmod(key[np.diff(key, prepend=-1) > 0], max(1, self.pairs.size))
+        many = self.first[feature + 1] - self.first[feature]
+        places = np.arange(many.sum()) + np.repeat(self.first[feature] - (np.cumsum(many) - many), many)
+        both = np.repeat(document, many) * n + self.holders[places]
+        special = np.repeat(self.special[feature], many)
+        rare = np.bincount(both[special], minlength=len(blocks) * n).reshape(-1, n)
+        shared = np.bincount(both[~special], minlength=len(blocks) * n).reshape(-1, n)
+        enough = (rare + shared > 0) & (rare >= RARE_SHARE * self.n_rare)
+        return (enough | (shared > 0) & (rare + shared >= RARE_SHARE * (self.n_rare + shared))).ravel()
+
     def leaked(self, items: list[int], ids: np.ndarray, pair: np.ndarray) -> Iterator[tuple[int, bool, int, list[int]]]:
         """(item, sure, rare pairs, common pairs) for those of the items of which a stretch of the document holds enough; not sure: only if common pairs count."""
         held = set(np.unique(pair[self.possible[pair]]).tolist())
@@ -277,6 +331,58 @@ def number_documents(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return written(documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInPandas(read, "doc_id bigint, digest bigint, ids binary"))
 
 
+def add_parts(parts: DataFrame) -> DataFrame:
+    """(first, part) from the tasks' (task, first, part): the sum of each first row's parts, 64 bits a number, in the order of tasks."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+        for pdf in batches:
+            done = []
+            for first, part in zip(pdf["first"].tolist(), pdf["part"]):
+                if first != at:
+                    if at is not None:
+                        done.append((at, total.tobytes()))
+                    at, total = first, np.zeros(len(part) // 4)
+                total += np.frombuffer(part, dtype=np.float32)
+            yield pd.DataFrame(done, columns=["first", "part"])
+        if at is not None:
+            yield pd.DataFrame({"first": [at], "part": [total.tobytes()]})
+
+    return parts.repartition("first").sortWithinPartitions("first", "task").mapInPandas(add, "first int, part binary")
+
+
+def fit_space(numbered: DataFrame, features: Callable[[pd.Series], tuple], idf: np.ndarray) -> np.ndarray:
+    """The leading directions (features x RANK) of the passages of all documents (ids) as TF-IDF vectors; idf ends with the zero of what is no feature."""
+    size = len(idf) - 1
+    basis = np.random.default_rng(0).standard_normal((size + 1, RANK)).astype(np.float32)
+
+    def iterate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weighted = (idf[:, None] * basis).astype(np.float32)
+        total = np.zeros((size + 1, RANK), dtype=np.float32)
+        for pdf in batches:
+            for some in portions(pdf["ids"]):
+                _, _, blocks, pair = features(some)
+                vectors, _, joined = window_vectors(weighted, pair, blocks)
+                # a word lies in the passage of its block and in that of the block before
+                both = np.vstack([vectors, np.zeros((1, RANK), dtype=np.float32)])
+                both[1:-1] += np.where(joined[:-1, None], vectors[:-1], 0)
+                live = np.flatnonzero(pair < size)
+                add_rows(total, pair[live], both, live // STEP)
+        total = (total * idf[:, None]).astype(np.float32)
+        some = [k for k in range(0, len(total), FEATURES) if total[k : k + FEATURES].any()]
+        yield pd.DataFrame({"task": TaskContext.get().partitionId(), "first": some, "part": [total[k : k + FEATURES].tobytes() for k in some]})
+
+    for _ in range(ROUNDS):
+        parts = numbered.select("ids").mapInPandas(iterate, "task int, first int, part binary")
+        total = np.zeros((size + 1, RANK))
+        for first, part in add_parts(parts).collect():
+            rows = np.frombuffer(part).reshape(-1, RANK)
+            total[first : first + len(rows)] = rows
+        basis = np.linalg.qr(total if total.any() else basis)[0].astype(np.float32)
+        if basis.shape[1] < RANK:
+            basis = np.pad(basis, ((0, 0), (0, RANK - basis.shape[1])))
+    return basis
+
+
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of all documents (doc_id, text) that hold a passage of an item (item_id, text)."""
     spark = documents.sparkSession
@@ -319,8 +425,7 @@ def leaks_of_block(documents: DataFrame, items: list[tuple[int, str]]) -> DataFr
 
     # each of n equal texts counts 1 / n
     many = numbered.groupBy("digest").agg(F.count("*").alias("copies"))
-    counted = many.agg(F.count("*").alias("texts"), F.sum("copies").alias("documents")).first()
-    n_texts, n_documents = counted["texts"], counted["documents"] or 0
+    n_texts = many.count()
     weighed = numbered.select("digest", "ids").join(small(many.where("copies > 1")), "digest", "left").select("ids", F.coalesce("copies", F.lit(1)).alias("copies"))
     df = np.zeros(pairs.size + 1)
     for r in weighed.mapInPandas(count, "feature bigint, n double").groupBy("feature").agg(F.sum("n").alias("n")).collect():
@@ -340,32 +445,7 @@ def leaks_of_block(documents: DataFrame, items: list[tuple[int, str]]) -> DataFr
     common = df > least
     formula = common & shared_by_items
 
-    sample = numbered.select("ids") if n_documents <= FIT_DOCUMENTS else numbered.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * FIT_DOCUMENTS / n_documents)).select("ids")
-    sample = sample.coalesce(FIT_TASKS)
-    basis = np.random.default_rng(0).standard_normal((pairs.size + 1, RANK)).astype(np.float32)
-
-    def iterate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weighted = (idf[:, None] * basis).astype(np.float32)
-        total = np.zeros((pairs.size + 1, RANK), dtype=np.float32)
-        for pdf in batches:
-            _, _, blocks, pair = features(pdf["ids"])
-            vectors, _, joined = window_vectors(weighted, pair, blocks)
-            # a word lies in the passage of its block and in that of the block before
-            both = vectors.copy()
-            both[1:] += np.where(joined[:-1, None], vectors[:-1], 0)
-            live = np.flatnonzero(pair < pairs.size)
-            live = live[np.argsort(pair[live], kind="stable")]
-            if len(live):
-                f = pair[live]
-                edge = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                total[f[edge]] += np.add.reduceat(both[live // STEP], edge, axis=0)
-        yield pd.DataFrame({"part": [(total * idf[:, None]).astype(np.float32).tobytes()]})
-
-    for _ in range(ROUNDS):
-        parts = [np.frombuffer(r[0], dtype=np.float32).reshape(pairs.size + 1, RANK) for r in sample.mapInPandas(iterate, "part binary").collect()]
-        basis = np.linalg.qr(np.sum(parts, axis=0, dtype=np.float64) if parts else basis)[0].astype(np.float32)
-        if basis.shape[1] < RANK:
-            basis = np.pad(basis, ((0, 0), (0, RANK - basis.shape[1])))
+    basis = fit_space(numbered, features, idf)
     held = spark.sparkContext.broadcast(pickle.dumps(Search([i for i, _ in items], words, pairs, (idf[:, None] * basis).astype(np.float32), common, formula)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
