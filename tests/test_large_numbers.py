@@ -24,3 +24,8 @@ def tables(spark, tmp_path_factory):
 def test_chunks(spark, tables):
     got = {(r["seg_no"], r["chunk_no"], r["start_ms"], r["end_ms"], r["text"]) for r in queries()["chunks"](spark, tables).collect()}
     assert got == {(SEG, 0, 10_000, 11_200, "so be it"), (2**31 - 1, 0, 20_000, 21_200, "very well then")}
+
+
+def test_corpus_chunks(spark, tables):
+    got = {(r["seg_no"], r["dialogue_no"], r["text"], r["real_speaker"]) for r in queries()["corpus_chunks"](spark, tables).collect()}
+    assert got == {(SEG, 5, "so be it", "A"), (2**31 - 1, 6, "very well then", "B")}
