@@ -29,3 +29,8 @@ def test_chunks(spark, tables):
 def test_corpus_chunks(spark, tables):
     got = {(r["seg_no"], r["dialogue_no"], r["text"], r["real_speaker"]) for r in queries()["corpus_chunks"](spark, tables).collect()}
     assert got == {(SEG, 5, "so be it", "A"), (2**31 - 1, 6, "very well then", "B")}
+
+
+def test_segment_words(spark, tables):
+    got = {(r["seg_no"], r["n_words"], r["sum_word_no"], r["first_ms"], r["last_ms"]) for r in queries()["segment_words"](spark, tables).collect()}
+    assert got == {(n, 3, 3 * n * 100_000 + 3, s, s + 1200) for n, s in ((SEG, 10_000), (2**31 - 1, 20_000))}
