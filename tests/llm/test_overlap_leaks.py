@@ -122,6 +122,25 @@ def test_shards_by_words(spark):
     assert overlap.laid(rows.limit(0), 1000).count() == 0
 
 
+def test_equal_texts_are_looked_at_once(spark):
+    """Copies of a text lie in one partition, their pairs come from one comparison, and every row counts."""
+    rng = random.Random(11)
+    base = [sentence(rng, 24) for _ in range(3)]
+    near = " ".join([*base[0].split()[:-1], "other"])
+    held = [base[0], near, sentence(rng, 24)]
+    train = [(i, f"x/case{i % 2 + 1}_2022_01_01_7_{i % 4}_00000001.wav", base[i % 3]) for i in range(60)]
+    evaluation = [(1000 + i, "case1_2022_01_01_7_0_00000002.wav" if i % 5 == 0 else None, held[i % 3], "test") for i in range(30)]
+    t = spark.createDataFrame(train, "row_id bigint, audio_path string, transcription string")
+    e = spark.createDataFrame(evaluation, "row_id bigint, audio_path string, transcription string, split string")
+    a, b = overlap.read_records(t), overlap.read_records(e, "split")
+    spread = overlap.laid(a, 50, key=overlap.TEXT).select(*overlap.TEXT, F.spark_partition_id().alias("p")).groupBy(*overlap.TEXT).agg(F.count_distinct("p").alias("n"), F.count("*").alias("rows")).collect()
+    assert [(r["n"], r["rows"]) for r in spread] == [(1, 20)] * 3
+    assert sorted(r["common"] for r in overlap.near_texts(a, b).collect()) == [23, 24]
+    got = [(r["row_id_train"], r["row_id_eval"], r["split"], r["case_id"]) for r in overlap.cross_split(t, e).collect()]
+    same = lambda x, y: (x[2] == base[0] and y[2] in held[:2]) or (y[1] is not None and x[1].startswith("x/case1_") and x[0] % 4 == 0)
+    assert sorted(got, key=lambda r: r[:2]) == [(x[0], y[0], "test", y[1] and "case1") for x in train for y in evaluation if same(x, y)]
+
+
 def test_coverage():
     assert overlap.covered([0, 3, 20], 5) == 8 + 5 and overlap.covered([]) == 0
 

@@ -6,6 +6,10 @@ whose length allows a match; matched intervals are merged into the coverage of t
 evaluation record, and the pairs are checked by the longest common subsequence of
 their words. Records whose paths name the same chunk are joined by that key.
 
+Equal texts are looked at once: they meet in one partition, by a key of 128 bits, and
+what is found for texts or for chunks is spread to the rows that hold them at the end,
+so that only the result grows with the product of repeated rows.
+
 Passages are two words long, at every offset, because no longer run is certain to be
 left whole: of two texts of m and n words that agree in c of them, the m - c and
 n - c others break the common words into at most m + n - 2c + 1 runs, so that at
@@ -48,6 +52,9 @@ HELD_WORDS = 3_000_000
 #: Texts that are matched at once.
 SCAN = 4000
 CHUNK = "cases: array<bigint>, dialogue_no: int, chunk_no: int"
+#: What tells texts and chunks apart.
+TEXT = ("text_a", "text_b")
+PLACE = ("case", "dialogue_no", "chunk_no")
 #: Passages of evaluation texts that are compared with training texts at once.
 AT_ONCE = 1_000_000
 
@@ -111,9 +118,10 @@ class Passages:
             self.automaton.make_automaton()
         text, passage = rarest_first(text_of[at], rank_of[passage], looked_at(self.size))
         order = np.lexsort((self.size[text], passage))
-        self.place = text[order]
+        self.place = text[order].astype(np.int32)
         self.wide = int(self.size.max(initial=0)) + 1
         self.rank = passage[order] * self.wide + self.size[self.place]
+        self.size = self.size.astype(np.int32)
 
     def numbers(self, texts: list[str]) -> list[tuple[int, ...]]:
         """The words of texts as the shard's numbers; one number, that no passage has, for all others."""
@@ -135,34 +143,37 @@ class Passages:
         owner, keys = rarest_first(np.repeat(np.arange(len(words)), met), np.fromiter((k for h in hits for k in h), dtype=np.int64, count=int(met.sum())), looked_at(size) - (size - 1 - met))
         if not len(keys):
             return
-        least, most = agree_least(size), np.floor((size + 1e-6) / AGREE).astype(np.int64)
-        first = np.searchsorted(self.rank, keys * self.wide + np.minimum(least, self.wide)[owner])
-        many = np.maximum(np.searchsorted(self.rank, keys * self.wide + np.minimum(most, self.wide - 1)[owner], "right") - first, 0)
-        own = signatures(np.fromiter((x for w in words for x in w), dtype=np.int64), np.cumsum(size))
+        shortest, longest = agree_least(size), np.floor((size + 1e-6) / AGREE).astype(np.int64)
+        first = np.searchsorted(self.rank, keys * self.wide + np.minimum(shortest, self.wide)[owner])
+        many = np.maximum(np.searchsorted(self.rank, keys * self.wide + np.minimum(longest, self.wide - 1)[owner], "right") - first, 0)
+        lacking = ~signatures(np.fromiter((x for w in words for x in w), dtype=np.int64), np.cumsum(size))
+        least = agree_least(np.arange(max(self.wide, int(size.max()) + 1))).astype(np.int32)
+        size, owner = size.astype(np.int32), owner.astype(np.int32)
         total = np.cumsum(many)
         last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
         at = 0
         while at < len(keys):
             # whole texts, as many as fit
             end = int(last[max(np.searchsorted(last, at, "right"), np.searchsorted(total[last - 1], total[at] - many[at] + AT_ONCE, "right") - 1)])
-            pairs = np.unique(np.concatenate([self.alike(k, min(k + step, end), owner, first, many, size, own) for step in [max(1, AT_ONCE // max(1, int(many[at:end].max())))] for k in range(at, end, step)]))
+            pairs = np.unique(np.concatenate([self.alike(k, min(k + step, end), owner, first, many, size, lacking, least) for step in [max(1, AT_ONCE // max(1, int(many[at:end].max())))] for k in range(at, end, step)]))
             yield from self.agreeing(pairs, words)
             at = end
 
-    def alike(self, begin: int, end: int, owner: np.ndarray, first: np.ndarray, many: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """text * number of evaluation texts + evaluation text, behind some hits, without pairs whose length or single words differ too much."""
+    def alike(self, begin: int, end: int, owner: np.ndarray, first: np.ndarray, many: np.ndarray, size: np.ndarray, lacking: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """text * number of evaluation texts + evaluation text, behind some hits, without pairs whose single words differ too much.
+
+        lacking: the signatures of the texts turned round. least: ``agree_least`` of all lengths.
+        """
         n = many[begin:end]
         other = self.place[np.repeat(first[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         text = np.repeat(owner[begin:end], n)
-        least = agree_least(np.maximum(size[text], self.size[other]))
-        fits = np.minimum(size[text], self.size[other]) >= least
-        text, other, spare = text[fits], other[fits], self.size[other[fits]] - least[fits]
-        lacks = np.zeros(len(text), dtype=np.int64)
+        m = self.size[other]
+        spare, lacks = m - least[np.maximum(size[text], m)], np.int16(0)
         for k in range(4):
-            lacks += np.bitwise_count(self.signature[k][other] & ~own[k][text])
-            fits = lacks <= spare
+            lacks = lacks + np.bitwise_count(self.signature[k][other] & lacking[k][text])
+            fits = np.flatnonzero(lacks <= spare)
             text, other, spare, lacks = text[fits], other[fits], spare[fits], lacks[fits]
-        return text * len(self.size) + other
+        return text.astype(np.int64) * len(self.size) + other
 
     def agreeing(self, pairs: np.ndarray, words: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int, int]]:
         held, masks, runs = -1, {}, set()
@@ -207,12 +218,13 @@ def as_uri(path: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
-def laid(rows: DataFrame, words: int, least: int = 1) -> DataFrame:
-    """(row_id, words) in partitions of about so many words each, at least so many partitions, by length; a length with more than one's worth is spread.
+def laid(rows: DataFrame, words: int, least: int = 1, key: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """(key, words) in partitions of about so many words each, at least so many partitions, by length; a length with more than one's worth is spread by key.
 
-    Only the count of every length is sent to the driver.
+    Rows of one key stay together and count once. Only the count of every length is
+    sent to the driver.
     """
-    lengths = sorted((r[0], r[1]) for r in rows.groupBy("n_words").count().collect())
+    lengths = sorted((r[0], r[1]) for r in rows.groupBy("n_words").agg(F.count_distinct(*key)).collect())
     all_words = sum(n * k for n, k in lengths)
     full = max(1.0, min(words, all_words / least))
     places, at = [], 0.0
@@ -223,38 +235,37 @@ def laid(rows: DataFrame, words: int, least: int = 1) -> DataFrame:
         places.append((n, first, max(1, math.ceil(end) - first)))
         at = end
     if not places:
-        return rows.select("row_id", "words").limit(0)
+        return rows.select(*key, "words").limit(0)
     table = rows.sparkSession.createDataFrame(places, "n_words int, first int, spread int")
-    part = (F.col("first") + F.pmod(F.xxhash64("row_id"), F.col("spread"))).cast("int")
-    return rows.join(F.broadcast(table), "n_words").repartitionById(math.ceil(at) + 1, part).select("row_id", "words")
+    part = (F.col("first") + F.pmod(F.xxhash64(*key), F.col("spread"))).cast("int")
+    return rows.join(F.broadcast(table), "n_words").repartitionById(math.ceil(at) + 1, part).select(*key, "words")
 
 
 def near_texts(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(row_id_train, row_id_eval, covered, n_words, common) for texts that agree; both sides: (row_id, words, n_words)."""
+    """(text_a_train, text_b_train, text_a_eval, text_b_eval, covered, n_words, common), once for every two texts that agree; both sides: (text_a, text_b, words, n_words)."""
     spark = train.sparkSession
     base = scratch(spark, "overlap")
 
-    def grouped(batches: Iterator[pd.DataFrame]) -> dict[str, list[int]]:
-        rows: dict[str, list[int]] = {}
+    def distinct(batches: Iterator[pd.DataFrame]) -> dict[str, tuple[int, int]]:
+        texts: dict[str, tuple[int, int]] = {}
         for pdf in batches:
-            for row, words in zip(pdf["row_id"].tolist(), pdf["words"].tolist()):
-                rows.setdefault(words, []).append(row)
-        return rows
+            texts.update(zip(pdf["words"].tolist(), zip(*(pdf[c].tolist() for c in TEXT))))
+        return texts
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = grouped(batches)
-        if rows:
-            made = Passages(list(rows))
-            yield pd.DataFrame({"shortest": [int(made.size.min())], "longest": [int(made.size.max())], "shard": [pickle.dumps((made, list(rows.values())))]})
+        texts = distinct(batches)
+        if texts:
+            made = Passages(list(texts))
+            yield pd.DataFrame({"shortest": [int(made.size.min())], "longest": [int(made.size.max())], "shard": [pickle.dumps((made, list(texts.values())))]})
 
-    shards = laid(evaluation.where(F.col("n_words") >= LEAST_WORDS), SHARD_WORDS)
+    shards = laid(evaluation.where(F.col("n_words") >= LEAST_WORDS), SHARD_WORDS, key=TEXT)
     shards.mapInPandas(build, "shortest int, longest int, shard binary").write.option("maxRecordsPerFile", 1).parquet(base)
     places = sorted((r[0], r[1], as_uri(r[2])) for r in spark.read.schema("shortest int, longest int").parquet(base).select("shortest", "longest", F.input_file_name()).collect())
-    names = ["row_id_train", "row_id_eval", "covered", "n_words", "common"]
+    names = [*(f"{c}_train" for c in TEXT), *(f"{c}_eval" for c in TEXT), "covered", "n_words", "common"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = grouped(batches)
-        texts = sorted(rows, key=lambda t: t.count(" "))
+        key_of = distinct(batches)
+        texts = sorted(key_of, key=lambda t: t.count(" "))
         size = [t.count(" ") + 1 for t in texts]
         for lo, hi, uri in places:
             near = [t for t, n in zip(texts, size) if lo * AGREE <= n and n * AGREE <= hi]
@@ -266,27 +277,18 @@ def near_texts(train: DataFrame, evaluation: DataFrame) -> DataFrame:
                 some = near[k : k + SCAN]
                 out = []
                 for t, e, cover, common in shard.matches(shard.numbers(some)):
-                    for r in rows[some[t]]:
-                        out.extend((r, x, cover, int(shard.size[e]), common) for x in held[e])
-                        if len(out) > 50_000:
-                            yield pd.DataFrame(out, columns=names)
-                            out = []
+                    out.append((*key_of[some[t]], *held[e], cover, int(shard.size[e]), common))
+                    if len(out) > 50_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
                 yield pd.DataFrame(out, columns=names)
 
-    spread = laid(train.where(F.col("n_words") >= LEAST_WORDS), HELD_WORDS, int(spark.sparkContext.defaultParallelism))
-    return spread.mapInPandas(scan, "row_id_train bigint, row_id_eval bigint, covered int, n_words int, common int")
-
-
-def same_chunk(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(row_id_train, row_id_eval) whose paths name one chunk; both sides: (row_id, chunk)."""
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        return df.where("chunk is not null").select(F.col("row_id").alias(name), F.try_element_at("chunk.cases", F.lit(1)).alias("case"), "chunk.dialogue_no", "chunk.chunk_no")
-
-    return keyed(train, "row_id_train").join(keyed(evaluation, "row_id_eval"), ["case", "dialogue_no", "chunk_no"]).select("row_id_train", "row_id_eval")
+    spread = laid(train.where(F.col("n_words") >= LEAST_WORDS), HELD_WORDS, int(spark.sparkContext.defaultParallelism), TEXT)
+    return spread.mapInPandas(scan, ", ".join([*(f"{c} bigint" for c in names[:4]), *(f"{c} int" for c in names[4:])]))
 
 
 def read_records(records: DataFrame, *more: str) -> DataFrame:
-    """(row_id, more, chunk, words, n_words), written once: words are plain words with single blanks, null for a null text."""
+    """(row_id, more, chunk, words, n_words, text_a, text_b), written once: words are plain words with single blanks, null for a null text; two hashes of 64 bits stand for them."""
     kept = records.select("row_id", *more, "audio_path", "transcription")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in ("row_id", *more)]
 
@@ -300,7 +302,8 @@ def read_records(records: DataFrame, *more: str) -> DataFrame:
                 n_words=[0 if w is None else len(w) for w in words],
             )
 
-    return written(kept.mapInPandas(read, ", ".join([*fields, f"chunk struct<{CHUNK}>", "words string", "n_words int"])))
+    parsed = kept.mapInPandas(read, ", ".join([*fields, f"chunk struct<{CHUNK}>", "words string", "n_words int"]))
+    return written(parsed.withColumns({TEXT[0]: F.xxhash64("words"), TEXT[1]: F.xxhash64(F.lit(1), "words")}))
 
 
 def cross_split(train: DataFrame, *evaluation: DataFrame) -> DataFrame:
@@ -311,10 +314,20 @@ def cross_split(train: DataFrame, *evaluation: DataFrame) -> DataFrame:
     held = evaluation[0].select("row_id", "split", "audio_path", "transcription")
     for e in evaluation[1:]:
         held = held.unionByName(e.select("row_id", "split", "audio_path", "transcription"))
+    of_train, of_eval = ([f"{c}_{name}" for c in TEXT] for name in ("train", "eval"))
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        places = (F.try_element_at("chunk.cases", F.lit(1)).alias("case"), "chunk.dialogue_no", "chunk.chunk_no")
+        return rows.select(F.col("row_id").alias(f"row_id_{name}"), *more, *places, *(F.col(c).alias(f"{c}_{name}") for c in TEXT))
+
     a, b = read_records(train), read_records(held, "split")
-    pairs = same_chunk(a, b).union(near_texts(a, b).select("row_id_train", "row_id_eval")).distinct()
-    about = b.select(F.col("row_id").alias("row_id_eval"), "split", F.concat(F.lit("case"), F.try_element_at("chunk.cases", F.lit(1))).alias("case_id"))
-    return pairs.join(about, "row_id_eval").select("row_id_train", "row_id_eval", "split", "case_id")
+    near = written(near_texts(a, b).select(*of_train, *of_eval))
+    a, b = side(a, "train"), side(b, "eval", "split").withColumn("case_id", F.concat(F.lit("case"), F.col("case")))
+    by_text = near.join(a.drop(*PLACE), of_train).join(b.drop(*PLACE), of_eval)
+    # of the chunks, those that the texts don't tell
+    chunks = a.where("case is not null").select(*PLACE, *of_train).distinct().join(b.where("case is not null").select(*PLACE, *of_eval).distinct(), [*PLACE])
+    by_path = chunks.join(near, [*of_train, *of_eval], "left_anti").join(a, [*PLACE, *of_train]).join(b, [*PLACE, *of_eval])
+    return by_text.select("row_id_train", "row_id_eval", "split", "case_id").union(by_path.select("row_id_train", "row_id_eval", "split", "case_id"))
 
 
 def report(overlaps: DataFrame) -> DataFrame:
